@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import simhash
+from tessera.llm import decontaminate, simhash, substring_dedup
 from tessera.llm.shared import read
 
 
@@ -14,7 +14,22 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", F.col("hit_words").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("hit_words") > 0).alias("contaminated"),
+    )
+
+
 QUERIES = {
+    "op4_substring_dedup": op4_substring_dedup,
+    "op10_decontaminate": op10_decontaminate,
     "op2_simhash": op2_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
