@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, simhash, substring_dedup
+from tessera.llm import bpe, decontaminate, simhash, substring_dedup
 from tessera.llm.shared import read
 
 
@@ -27,7 +29,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary() -> str:
+    """Path of the public byte-level vocabulary: TESSERA_VOCABULARY, else that of the installed package."""
+    if path := os.environ.get("TESSERA_VOCABULARY"):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode_decode(read(spark, sf_dir, "documents"), vocabulary())
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
+    "op9_bpe": op9_bpe,
     "op4_substring_dedup": op4_substring_dedup,
     "op10_decontaminate": op10_decontaminate,
     "op2_simhash": op2_simhash,
