@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, simhash, substring_dedup
+from tessera.llm import bpe, compression, decontaminate, simhash, substring_dedup
 from tessera.llm.shared import read
 
 
@@ -45,7 +45,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.quality(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_compression": op5_compression,
     "op9_bpe": op9_bpe,
     "op4_substring_dedup": op4_substring_dedup,
     "op10_decontaminate": op10_decontaminate,
