@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, compression, decontaminate, simhash, substring_dedup
+from tessera.llm import bpe, compression, decontaminate, pii, simhash, substring_dedup
 from tessera.llm.shared import read
 
 
@@ -49,7 +49,18 @@ def op5_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.quality(read(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.scan(read(spark, sf_dir, "documents"))
+
+    def joined(col):
+        return F.array_join(F.transform(col, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    number = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return out.select("doc_id", *number, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 QUERIES = {
+    "op6_pii": op6_pii,
     "op5_compression": op5_compression,
     "op9_bpe": op9_bpe,
     "op4_substring_dedup": op4_substring_dedup,
