@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, compression, decontaminate, pii, simhash, substring_dedup
+from tessera.llm import bpe, compression, decontaminate, pii, simhash, substring_dedup, toxicity
 from tessera.llm.shared import read
 
 
@@ -59,7 +59,14 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *number, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = toxicity.scores(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op7_toxicity": op7_toxicity,
     "op6_pii": op6_pii,
     "op5_compression": op5_compression,
     "op9_bpe": op9_bpe,
