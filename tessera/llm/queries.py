@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, compression, decontaminate, pii, simhash, substring_dedup, toxicity
+from tessera.llm import bpe, compression, decontaminate, line_dedup, pii, simhash, substring_dedup, toxicity
 from tessera.llm.shared import read
 
 
@@ -65,7 +65,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(read(spark, sf_dir, "documents"), report=True)
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed_lines").cast("long").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
     "op7_toxicity": op7_toxicity,
     "op6_pii": op6_pii,
     "op5_compression": op5_compression,
