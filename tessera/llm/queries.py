@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, compression, decontaminate, line_dedup, pii, simhash, substring_dedup, toxicity
+from tessera.llm import bpe, compression, decontaminate, html_extract, line_dedup, pii, simhash, substring_dedup, toxicity, weak_quality
 from tessera.llm.shared import read
 
 
@@ -70,14 +70,26 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed_lines").cast("long").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract(read(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op8_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.scores(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
+    "op2_simhash": op2_simhash,
     "op3_line_dedup": op3_line_dedup,
-    "op7_toxicity": op7_toxicity,
-    "op6_pii": op6_pii,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_compression": op5_compression,
+    "op6_pii": op6_pii,
+    "op7_toxicity": op7_toxicity,
+    "op8_weak_quality": op8_weak_quality,
     "op9_bpe": op9_bpe,
-    "op4_substring_dedup": op4_substring_dedup,
     "op10_decontaminate": op10_decontaminate,
-    "op2_simhash": op2_simhash,
 }
+#: None: SQL can express none of them on whole tables in reasonable time; tests/llm holds each against brute force.
 ORACLE_SQL: dict[str, str] = {}
