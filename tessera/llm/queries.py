@@ -55,8 +55,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(col):
         return F.array_join(F.transform(col, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
-    number = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
-    return out.select("doc_id", *number, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    def number(kind):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select("doc_id", *map(number, ("email", "ip", "card", "phone")), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

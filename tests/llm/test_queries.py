@@ -25,6 +25,8 @@ def tables(spark, path, seed=1):
             lines.insert(1, items[i % 5][1])
         if i % 6 == 1:
             lines[0] += " idiot moron scum"
+        if i % 10 == 2:
+            lines[-1] += f" mail me.{i}@host-{i}.example.org or +1 (444) 555-3382, card 4539 1488 0343 6467, ip 10.0.0.{i}"
         if i % 7 == 3:
             lines[0] = docs[0][1].split("\n")[0]
         docs.append((i, "\n".join(lines), "en", "s", 0))
@@ -77,3 +79,18 @@ def test_stages_keep_the_columns_of_documents(spark, case):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, case[0])
         assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+
+
+def test_pii_digest(spark, case):
+    from hashlib import sha256
+
+    from test_pii import brute
+
+    texts = {d[0]: d[1] or "" for d in case[1]}
+    rows = queries.op6_pii(spark, case[0]).collect()
+    assert any(r.n_card for r in rows) and any(r.n_phone for r in rows)
+    for r in rows:
+        base = brute(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(b[0] == k for b in base) for k in ("email", "ip", "card", "phone")]
+        joined = ",".join(":".join(map(str, b)) for b in base)
+        assert r.base_sha256 == sha256(joined.encode()).hexdigest() and r.spans == joined
