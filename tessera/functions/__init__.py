@@ -1 +1 @@
-"""functions of the engine."""
+"""Column expressions: text, filters, scoring rules, quantiles."""

@@ -1 +1,5 @@
-"""plans of the engine."""
+"""Plan builders and the catalogues of registered queries."""
+
+from tessera.plans import catalog_text
+
+CATALOGS = [catalog_text]
