@@ -79,11 +79,8 @@ def alias_fields(role: list[Column], content: list[Column]) -> Column:
 
 def text_ids(c: Column) -> Column:
     """Byte token ids of a text."""
-    hexed = F.hex(F.encode(c, "UTF-8"))
-    n = (F.length(hexed) / 2).cast("int")
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("int") + fixed.BYTE_SHIFT)
-    )
+    pairs = F.regexp_extract_all(F.hex(F.encode(c, "UTF-8")), F.lit(".."), F.lit(0))
+    return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int") + fixed.BYTE_SHIFT)
 
 
 def turn_parts(messages: Column, most_tokens: int | None) -> Column:

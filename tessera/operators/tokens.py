@@ -6,11 +6,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from tessera.functions import fixed
 from tessera.functions.text import strip
 
 
+IDS = ArrayType(IntegerType())
+
+
 def byte_ids(df: DataFrame, text: str = "text", bos: bool = True, eos: bool = True, drop_blank: bool = True) -> DataFrame:
     """df's other columns with ids: BOS, the stripped text's UTF-8 bytes + 4, EOS; blank texts are dropped (or just get the marks)."""
     rest = [c for c in df.columns if c not in (text, "ids")]
@@ -35,7 +39,7 @@ def byte_ids(df: DataFrame, text: str = "text", bos: bool = True, eos: bool = Tr
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], [*b.schema.names[:-1], "ids"])
 
-    return ready.mapInArrow(run, ready.drop("__t").schema.add("ids", "array<int>"))
+    return ready.mapInArrow(run, ready.drop("__t").schema.add("ids", IDS))
 
 
 def file_ids(df: DataFrame, tokenizer_json: str, text: str = "text", bos: int | None = None, eos: int | None = None) -> DataFrame:
@@ -56,7 +60,7 @@ def file_ids(df: DataFrame, tokenizer_json: str, text: str = "text", bos: int |
             out = pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names[:-1], "ids"])
             yield out.filter(out.column(out.num_columns - 1).is_valid())
 
-    return ready.mapInArrow(run, ready.drop("__t").schema.add("ids", "array<int>"))
+    return ready.mapInArrow(run, ready.drop("__t").schema.add("ids", IDS))
 
 
 def with_eos(ids, eos: int = fixed.EOS, empty_too: bool = True) -> Column:

@@ -200,7 +200,7 @@ def block_fingerprints(spark, d):
     return table(spark, d, "benchmark").select("item_id", T.block_fingerprint(text_ids(F.col("text"))).alias("fp"))
 
 
-@query("""SELECT event_id, round(CASE WHEN value < 30 THEN exp(value) ELSE 'inf'::DOUBLE END, 3) AS ppl,
+@query("""SELECT event_id, round(ln(CASE WHEN value < 30 THEN exp(value) ELSE 'inf'::DOUBLE END), 6) AS log_ppl,
   CASE event_id % 5 WHEN 0 THEN 2 WHEN 4 THEN 2 ELSE 1 END AS class,
   CASE event_id % 5 WHEN 0 THEN 9223372036854775807 WHEN 1 THEN event_id * 1000000000 WHEN 2 THEN event_id * 1048576 WHEN 3 THEN event_id * 1000000000 + 500000000 ELSE 0 END AS tokens,
   round(CASE event_id % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.25 ELSE value END, 6) AS metric, CASE WHEN event_id % 2 = 0 THEN format('{:.4f}', event_id / 8) ELSE '' END AS shown FROM events""")
@@ -209,4 +209,4 @@ def report_values(spark, d):
     name = F.when(k == 0, F.lit("final")).when(k == 1, F.concat(F.lit("checkpoint-"), e, F.lit("B-tokens"))).when(k == 2, F.concat(F.lit("checkpoint-"), e)).when(k == 3, F.concat(F.lit("checkpoint-"), e, F.lit(".5B-tokens"))).otherwise("other")
     own = table(spark, d, "events").withColumn("key", T.checkpoint_key(name))
     m = F.when(e % 3 == 0, F.create_map(F.lit("acc,none"), F.lit(0.1), F.lit("acc_norm,none"), F.lit(0.5))).when(e % 3 == 1, F.create_map(F.lit("x"), F.lit(0.9), F.lit("exact_match,none"), F.lit(0.25))).otherwise(F.create_map(F.lit("y"), F.col("value")))
-    return own.select("event_id", F.round(T.perplexity("value"), 3).alias("ppl"), "key.class", "key.tokens", F.round(T.metric_value(m), 6).alias("metric"), T.four_digits(F.when(e % 2 == 0, e / 8)).alias("shown"))
+    return own.select("event_id", F.round(F.log(T.perplexity("value")), 6).alias("log_ppl"), "key.class", "key.tokens", F.round(T.metric_value(m), 6).alias("metric"), T.four_digits(F.when(e % 2 == 0, e / 8)).alias("shown"))
