@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,20 +107,28 @@ def drop_starts(messages: Column, lead: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.size(messages)), zero, step)["starts"]
 
 
-def fitted(parts: Column, sizes: Column, block_size: int) -> Column:
+def fitted(parts: Column, block_size: int) -> Column:
     """Turns left after dropping the oldest ones (an answer goes with its question) until all fits with the end mark.
 
-    sizes: tokens of each turn. The number dropped is the smallest that fits; suffix sums tell it without trial.
+    The number dropped is the smallest that fits; suffix sums of the turns' sizes tell it without trial.
     """
-    n = F.size(parts)
-    lead = F.when(F.element_at(parts, 1)["role"] == "system", F.lit(1)).otherwise(F.lit(0))
-    fixed_size = F.when(lead == 1, F.element_at(sizes, 1)).otherwise(F.lit(0)) + 1
-    starts = drop_starts(parts, lead)
-    total = lambda i: F.aggregate(F.slice(sizes, i, n - i + 1), F.lit(0), lambda a, x: a + x)
-    fits = F.filter(starts, lambda i: total(i) + fixed_size <= block_size)
-    first = F.try_element_at(fits, F.lit(1))
-    kept = F.concat(F.slice(parts, F.lit(1), lead), F.slice(parts, first, n - first + 1))
-    return F.when(first.isNotNull(), kept).otherwise(F.slice(parts, 1, 0))
+
+    def chosen(p, sizes):
+        n = F.size(p)
+        lead = F.when(F.element_at(p, 1)["role"] == "system", F.lit(1)).otherwise(F.lit(0))
+        kept_size = F.when(lead == 1, F.element_at(sizes, 1)).otherwise(F.lit(0)) + 1
+        # suffix[i]: tokens of the turns from i on
+        suffix = F.reverse(F.aggregate(F.reverse(sizes), F.array().cast("array<int>"), lambda done, x: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + x))))
+
+        def pick(suffix):
+            fits = F.filter(drop_starts(p, lead), lambda i: F.element_at(suffix, i) + kept_size <= block_size)
+            first = F.try_element_at(fits, F.lit(1))
+            return F.when(first.isNotNull(), F.concat(F.slice(p, F.lit(1), lead), F.slice(p, first, n - first + 1))).otherwise(F.slice(p, 1, 0))
+
+        return T.let(suffix, pick)
+
+    size = lambda p: F.size(p["head"]) + F.size(p["body"]) + F.size(p["close"])
+    return T.let(parts, lambda p: T.let(F.transform(p, size), lambda sizes: chosen(p, sizes)))
 
 
 def supervised_rows(df: DataFrame, block_size: int, most_tokens: int | None = 256, messages: str = "messages", early: int = fixed.EARLY_LABELS, pad: int = fixed.EOS) -> DataFrame:
@@ -131,10 +137,7 @@ def supervised_rows(df: DataFrame, block_size: int, most_tokens: int | None = 25
     Labels are the answers' contents and closers; rows that do not fit, or are supervised within the first `early` places, go.
     """
     rest = [c for c in df.columns if c != messages]
-    size = lambda p: F.size(p["head"]) + F.size(p["body"]) + F.size(p["close"])
-    out = df.select(*rest, turn_parts(F.col(messages), most_tokens).alias("__p"))
-    out = out.withColumn("__s", F.transform("__p", size))
-    out = out.select(*rest, fitted(F.col("__p"), F.col("__s"), block_size).alias("__p")).where(F.exists("__p", lambda p: p["role"] == "assistant"))
+    out = df.select(*rest, fitted(turn_parts(F.col(messages), most_tokens), block_size).alias("__p")).where(F.exists("__p", lambda p: p["role"] == "assistant"))
     ids = F.concat(F.flatten(F.transform("__p", lambda p: F.concat(p["head"], p["body"], p["close"]))), F.array(F.lit(fixed.EOS)))
     silent = lambda x: F.transform(x, lambda _: F.lit(fixed.IGNORED))
     labels = F.flatten(F.transform("__p", lambda p: F.when(p["role"] == "assistant", F.concat(silent(p["head"]), p["body"], p["close"])).otherwise(silent(F.concat(p["head"], p["body"], p["close"])))))
@@ -190,14 +193,13 @@ def tree_paths(nodes: DataFrame, most: int = 8, only: str | None = "en") -> Data
     now = own.where("(parent_id is null or parent_id = '') and role is not null and text <> ''").select(
         F.col("message_id").alias("root_id"), F.col("message_id").alias("at"), "role", F.array(F.struct("role", F.col("text").alias("content"))).alias("messages"), (F.col("role") != "system").cast("int").alias("n")
     )
-    ended = []
-    for _ in range(most + 1):
-        want = F.when(F.col("role") == "assistant", "user").otherwise("assistant")
-        open_, full = now.where(F.col("n") < most), now.where(F.col("n") >= most)
-        met = open_.join(step, (open_["at"] == step["p"]) & (step["r"] == want) & (step["t"] != ""), "left")
-        ended += [full.select("root_id", "messages"), met.where("m is null").select("root_id", "messages")]
-        now = met.where("m is not null").select("root_id", F.col("m").alias("at"), F.col("r").alias("role"), F.concat("messages", F.array(F.struct(F.col("r").alias("role"), F.col("t").alias("content")))).alias("messages"), (F.col("n") + 1).alias("n"))
-    return reduce(DataFrame.unionAll, ended)
+    for _ in range(most):
+        # a path that has ended keeps its row and finds no further child
+        want = F.when(F.col("n") >= most, F.lit("none")).when(F.col("role") == "assistant", "user").otherwise("assistant")
+        met = now.withColumn("want", want).join(step.where("t <> ''"), (F.col("at") == F.col("p")) & (F.col("r") == F.col("want")), "left")
+        grown = F.when(F.col("m").isNull(), F.col("messages")).otherwise(F.concat("messages", F.array(F.struct(F.col("r").alias("role"), F.col("t").alias("content")))))
+        now = met.select("root_id", F.col("m").alias("at"), F.coalesce("r", "role").alias("role"), grown.alias("messages"), (F.col("n") + F.col("m").isNotNull().cast("int")).alias("n"))
+    return now.select("root_id", "messages")
 
 
 def prompt_suite(df: DataFrame) -> DataFrame:
