@@ -2,7 +2,7 @@
 
 Labellers vote good, bad or abstain on each document; abstaining is an outcome of its own, with a rate for each class. The counts
 of vote patterns over the whole corpus are a bounded summary on which expectation-maximisation estimates the labellers' rates;
-the posteriors of a bounded sample (`sample_rows`, by a hash of the text) train a hashed linear scorer on word shapes, repeats and
+the posteriors of a bounded sample (about `sample_rows` texts, by a hash) train a hashed linear scorer on word shapes, repeats and
 words, which scores whole texts.
 
 Defined results: a null or wordless text has all labellers abstain and scores by the bias alone; a null id stays null; repeated rows each
@@ -166,23 +166,25 @@ def train_scorer(texts: list[str], labels: Outcomes, rounds: int = 40, rate: flo
     """Weights of DIM columns and a bias, by adaptive gradient steps on the posteriors."""
     roll = Rolling(51)
     weights = np.zeros(DIM + 1)
-    parts = []
-    for lo, hi, w in slices_of(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"]), 0, roll):
-        parts.append((w.doc + lo, w.columns(), w.n, labels.posterior(w.votes(roll)), np.arange(lo, hi)))
-    if not parts:
+    docs, cols, values, targets = [], [], [], []
+    for lo in range(0, len(texts), 200):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts[lo : lo + 200], pa.string())], ["t"])
+        for at, _, w in slices_of(batch, 0, roll):
+            key, count = np.unique(np.concatenate([w.doc * DIM + c for c in w.columns()]), return_counts=True)
+            doc = key // DIM
+            docs.append((doc + lo + at).astype(np.int32))
+            cols.append((key % DIM).astype(np.int32))
+            values.append((count / np.maximum(w.n[doc], 1)).astype(np.float32))
+            targets.append(labels.posterior(w.votes(roll)))
+    if not docs:
         return weights
-    n = np.concatenate([p[2] for p in parts])
-    target = np.concatenate([p[3] for p in parts])
-    doc = np.concatenate([np.tile(p[0], 3) for p in parts])
-    col = np.concatenate([np.concatenate(p[1]) for p in parts])
-    key, count = np.unique(doc * DIM + col, return_counts=True)
-    doc, col = key // DIM, key % DIM
-    value = count / np.maximum(n[doc], 1)
-    seen = np.full(DIM + 1, 1e-8)
+    doc, col, value, target = map(np.concatenate, (docs, cols, values, targets))
+    n = len(target)
     weights[DIM] = np.log(max(target.mean(), 0.01) / max(1 - target.mean(), 0.01))
+    seen = np.full(DIM + 1, 1e-8)
     for _ in range(rounds):
-        z = np.bincount(doc, value * weights[col], len(n)) + weights[DIM]
-        gap = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / len(n)
+        z = np.bincount(doc, value * weights[col], n) + weights[DIM]
+        gap = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / n
         grad = np.append(np.bincount(col, value * gap[doc], DIM) + ridge * weights[:DIM], gap.sum())
         seen += grad**2
         weights -= rate * grad / np.sqrt(seen)
@@ -193,8 +195,10 @@ def scores(docs: DataFrame, sample_rows: int = 4_000, threshold: float = 0.5, id
     """(doc_id, posterior: of the labellers' votes, score: of the linear scorer, predicted: 1 for good)."""
     patterns, counts = pattern_counts(docs, text_col)
     labels = Outcomes().fit(patterns, counts)
-    sample = docs.select(F.col(text_col).alias("text")).where("text is not null").orderBy(F.xxhash64("text"), "text").limit(sample_rows)
-    weights = train_scorer([r.text for r in sample.collect()], labels)
+    share = min(1.0, sample_rows / max(1.0, counts.sum()))
+    place = F.pmod(F.xxhash64(F.col(text_col), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    sample = docs.select(F.col(text_col).alias("text")).where(F.col(text_col).isNotNull() & (place < share)).distinct()
+    weights = train_scorer(sorted(r.text for r in sample.collect()), labels)
     shared = docs.sparkSession.sparkContext.broadcast((labels.prior, labels.rate, weights))
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
