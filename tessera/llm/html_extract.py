@@ -37,6 +37,8 @@ WORDS = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended trending "
     "comment comments disqus respond reply replies discussion widget toolbar pagination pager skip search paywall".split()
 )
+#: Parts that mark a name also where it is written as one word with others.
+MARKS = re.compile(r"sidebar|footer|breadcrumb|cookie|newsletter|advert|navbar|navigation|^nav|nav$|menu$|^comment(?!ary)|comments?$")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -164,8 +166,8 @@ class Page:
             bad = tag in BOILER or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
             if tag == "header" or "header" in (found := names(attrs)):
                 bad |= not within[i] and not holds[i]
-            bad |= bool(found & WORDS) if attrs else False
-            if bad and tag not in BOILER and (holds[i] or (not holds[0] and 2 * plain[i] > plain[0])) and not found & {"comment", "comments"}:
+            bad |= bool(found & WORDS or any(map(MARKS.search, found)))
+            if bad and tag not in BOILER and (holds[i] or ((within[i] or not holds[0]) and 2 * plain[i] > plain[0])) and not found & {"comment", "comments"}:
                 bad = False
             if not bad and tag in ("ul", "ol", "div", "section", "table", "p") and self.link_tags[i] >= 3 and self.link_chars[i] >= 0.6 * self.chars[i]:
                 bad = not holds[i]

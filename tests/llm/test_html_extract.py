@@ -40,6 +40,19 @@ def test_plain_divs():
     assert H.main_text(html) == want("Head", LONG, LONG, "x")
 
 
+def test_more_layouts():
+    inner = "<h1>Head</h1><p>" + LONG + "</p><p>Short one.</p><table><tr><td>a</td><td>b &lt; c</td></tr></table><blockquote>Quoted words</blockquote><pre>x =  1\n y</pre>"
+    text = want("Head", LONG, "Short one.", "a b < c", "Quoted words", "x = 1 y")
+    shells = [
+        '<div id="topnav"><a href="a">Start</a></div><article class="post with-sidebar"><div class="content no-sidebar">{}</div><div class="share">Share this</div><div id="commentlist"><p>Nice text, thank you very much.</p></div></article><div class="sitefooter">Foot</div>',
+        '<div class="page"><div class="header"><p>Name of the site and slogan</p></div><div class="main">{}</div><div class="sidebar"><h3>Popular</h3><p>Some other text here</p></div><div class="comments"><p>' + LONG + "</p></div></div>",
+        '<main>{}<aside>Also <a href="x">this</a></aside><form><p>Subscribe to our list</p><input></form></main><div role="contentinfo">Imprint</div><div class="cookie-banner" hidden>We use cookies</div>',
+        '<table><tr><td class="menu"><a href="a">A</a><a href="b">B</a></td><td><article>{}</article></td></tr></table><noscript>Turn scripts on</noscript>',
+    ]
+    for shell in shells:
+        assert H.main_text(page(shell.replace("{}", inner))) == text, shell
+
+
 def test_edges(spark):
     assert [H.main_text(x) for x in (None, "", "<html></html>", "plain &lt;text&gt;\n here")] == ["", "", "", "plain <text> here"]
     assert H.main_text("<div>" * 5000 + "deep" + "</div>" * 3000) == "deep"
