@@ -57,3 +57,18 @@ def shard_guard(found: set[int], complete: set[int], expected: int) -> tuple[int
     if len(complete) < expected or not complete:
         return 1, f"{len(complete)} of {expected} shards"
     return 0, "ok"
+
+
+def replay(chunks: DataFrame, taken: DataFrame, shard: str = "shard", source: str = "source", order: str = "mix_pos", text: str = "text") -> DataFrame:
+    """(source, total, distinct_n, factor) of the chunks that shards have taken: of each shard the first `n` of taken(shard, n) in mix order."""
+    place = F.row_number().over(Window.partitionBy(shard).orderBy(order))
+    used = chunks.withColumn("__rn", place).join(taken, shard).where("__rn <= n")
+    return per_source(used, source, text)
+
+
+def report(chunks: DataFrame, shards: int, shard_tokens: int, path: str, shard: str = "shard") -> None:
+    """Writes the audit as one JSON object: totals, sources by size, running totals by shard."""
+    one = summary(chunks, shards, shard_tokens).select(F.struct("*").alias("totals"))
+    by = per_source(chunks).agg(F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("order"), "source", "total", "distinct_n", "factor"))).alias("per_source"))
+    steps = running(chunks, shard).agg(F.array_sort(F.collect_list(F.struct(shard, "total", "distinct_n", "factor"))).alias("shard_results"))
+    one.crossJoin(by).crossJoin(steps).coalesce(1).write.mode("overwrite").json(path)  # three single rows

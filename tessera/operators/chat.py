@@ -216,3 +216,32 @@ def prompt_suite(df: DataFrame) -> DataFrame:
         F.coalesce(has("id", "string"), F.format_string("prompt_%02d", F.col("pos") + 1)).alias("id"), F.coalesce(has("bucket", "string"), F.lit("general")).alias("bucket"),
         F.when(bad, F.raise_error(F.lit("invalid prompt entry"))).otherwise(F.col("__m")).alias("messages"), *rest,
     )
+
+
+def tree_or_messages(df: DataFrame, most: int = 8, only: str | None = "en", version: str = "v7") -> DataFrame:
+    """Normalised conversations of a table that has messages, else of message-tree rows."""
+    return normalise(df if "messages" in df.columns else tree_paths(df, most, only), most=most, version=version)
+
+
+def row_summary(df: DataFrame, block_size: int, n: int = 1024, order: str = "block_id") -> DataFrame:
+    """One row about the first n rows of (input_ids, labels): median and nearest-rank p90 of lengths, supervised labels and first places.
+
+    Rows whose arrays differ in length or exceed the block, and a table without any supervised label, are errors.
+    """
+    from tessera.operators.metrics import quantile_nearest
+
+    active = F.filter(F.transform("labels", lambda x, i: F.when(x != fixed.IGNORED, i)), lambda i: i.isNotNull())
+    fits = (F.size("input_ids") == F.size("labels")) & (F.size("input_ids") <= block_size)
+    size = F.when(fits, F.size("input_ids")).otherwise(F.raise_error(F.lit("row with bad lengths")).cast("int"))
+    own = df.orderBy(order).limit(n).select(size.alias("size"), F.size(active).alias("k"), F.try_element_at(active, F.lit(1)).alias("first"))
+    k = F.when(F.col("k") > 0, F.col("k"))
+    half = lambda c: F.floor(F.percentile(c, 0.5)).cast("int")
+    out = own.agg(
+        F.count("*").alias("rows_checked"), F.count(k).alias("supervised_rows"), half("size").alias("seq_len_p50"), quantile_nearest(F.col("size"), 0.9).alias("seq_len_p90"),
+        half(k).alias("supervised_tokens_p50"), quantile_nearest(k, 0.9).alias("supervised_tokens_p90"), half("first").alias("first_supervised_p50"), quantile_nearest(F.col("first"), 0.9).alias("first_supervised_p90"),
+    )
+    return out.withColumn("supervised_rows", F.when(F.col("supervised_rows") > 0, F.col("supervised_rows")).otherwise(F.raise_error(F.lit("no supervised labels")).cast("long")))
+
+
+def long_enough(ids: str = "input_ids", labels: str = "labels", least: int = 8) -> Column:
+    return (F.size(ids) > least) & (F.size(labels) > least)

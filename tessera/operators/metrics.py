@@ -158,7 +158,7 @@ def quantile_linear(value, q: float) -> Column:
 def quantile_nearest(value, q: float) -> Column:
     """Nearest rank at (n - 1) * q, halves to even."""
     s = F.sort_array(F.collect_list(value))
-    return F.try_element_at(s, (F.bround((F.size(s) - 1) * F.lit(q)) + 1).cast("int"))
+    return F.try_element_at(s, F.greatest((F.bround((F.size(s) - 1) * F.lit(q)) + 1).cast("int"), F.lit(1)))
 
 
 def quantile_exclusive(value, parts: int, i: int) -> Column:
@@ -167,7 +167,8 @@ def quantile_exclusive(value, parts: int, i: int) -> Column:
     n = F.size(s)
     j = F.least(F.greatest(F.floor((n + 1) * i / parts).cast("int"), F.lit(1)), n - 1)
     delta = (n + 1) * i - j * parts
-    return F.when(n >= 2, (F.try_element_at(s, j) * (parts - delta) + F.try_element_at(s, j + 1) * delta) / parts)
+    at = lambda i: F.try_element_at(s, F.greatest(i, F.lit(1)))
+    return F.when(n >= 2, (at(j) * (parts - delta) + at(j + 1) * delta) / parts)
 
 
 def guarded_mean(value) -> Column:

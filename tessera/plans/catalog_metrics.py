@@ -53,6 +53,20 @@ def dedup_running(spark, d):
     return audit.running(own).withColumn("factor", F.round("factor", 9))
 
 
+@query(f"""WITH d AS (SELECT *, {BUCKET} AS shard FROM {READY}), c AS (SELECT source, shard, doc_id * 100000 + unnest(range(0, len(c))) AS pos, unnest(c) AS text FROM (SELECT *, {S.chunks('t', 500)} AS c FROM d)),
+g AS (SELECT *, -ln({S.ratio(S.quote('17'), 'source', 'pos::VARCHAR')} * 0.999999::DOUBLE + 5e-7) / (1.0 + (substr(source, 4)::INT % 5)) AS gap FROM c), a AS (SELECT *, sum(gap) OVER (PARTITION BY source ORDER BY pos) AS arrival FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY arrival, source, pos) AS rn FROM a), u AS (SELECT * FROM r WHERE rn <= 60 + shard * 10)
+SELECT source, count(*) AS total, count(DISTINCT text) AS distinct_n, round(count(*)::DOUBLE / count(DISTINCT text), 9) AS factor FROM u GROUP BY source""")
+def replay_audit(spark, d):
+    """Audit of what shards took: split, chunks, mix, then the first chunks of each shard by its recorded number."""
+    from tessera.operators import mix
+
+    own = ready(spark, d).select("doc_id", "source", T.shard_bucket(F.col("source"), F.col("t"), SALT, SHARDS).alias("shard"), F.posexplode(T.text_chunks("t", 500)).alias("i", "text"))
+    mixed = mix.mix(own.withColumn("pos", F.col("doc_id") * 100000 + F.col("i")), {f"src{i}": 1.0 + i % 5 for i in range(20)}, 17)
+    taken = spark.range(SHARDS).select(F.col("id").cast("int").alias("shard"), (60 + F.col("id") * 10).alias("n"))
+    return audit.replay(mixed, taken).withColumn("factor", F.round("factor", 9))
+
+
 def across_sql(shard: str) -> str:
     return f"""(WITH b AS (SELECT sha256(t) AS fp, count(*) AS n, count(DISTINCT {shard}) AS k FROM (SELECT *, {BUCKET} AS bucket FROM {READY}) GROUP BY 1)
 SELECT sum(n)::BIGINT AS total, count(*) AS distinct_n, sum(k - 1)::BIGINT AS collisions, round(sum(n)::DOUBLE / count(*), 9) AS factor, sum(n)::DOUBLE / count(*) <= 1.01 AS passed FROM b)"""

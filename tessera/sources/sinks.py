@@ -64,3 +64,21 @@ def comparison_table(df: DataFrame, tasks: list[str]) -> DataFrame:
 
     wide = df.groupBy("checkpoint", "training_eval_loss").pivot("task", tasks).agg(F.first("value"))
     return wide.select("checkpoint", four_digits("training_eval_loss").alias("training_eval_loss"), *(four_digits(t).alias(t) for t in tasks))
+
+
+def drop_incomplete(spark: SparkSession, root: str) -> list[int]:
+    """Removes the folders of incomplete shards and their lines of the manifest; returns their ids."""
+    rows = spark.read.parquet(f"{root}/manifest").collect()  # a row for each shard
+    bad = [r.shard_id for r in rows if not r.complete]
+    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for i in bad:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/blocks/shard_id={i}"), True)
+    if bad:
+        good = spark.createDataFrame([r for r in rows if r.complete], spark.read.parquet(f"{root}/manifest").schema)
+        good.coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest")
+    return bad
+
+
+def file_sha256(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha256) of files, for provenance."""
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
