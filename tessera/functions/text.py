@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import fixed
 
-_CLASS = "".join(f"\\u{a:04x}" if a == b else f"\\u{a:04x}-\\u{b:04x}" for a, b in fixed.WHITE)
+_WHITE = "".join(chr(i) for a, b in fixed.WHITE for i in range(a, b + 1))
 
 
 def _col(c) -> Column:
@@ -23,7 +23,7 @@ def let(value: Column, f) -> Column:
 
 def strip(c) -> Column:
     """Without Unicode white space at both ends (trim() knows only U+0020)."""
-    return F.regexp_replace(_col(c), f"^[{_CLASS}]+|[{_CLASS}]+$", "")
+    return F.btrim(_col(c), F.lit(_WHITE))
 
 
 def filled(c) -> Column:

@@ -26,7 +26,13 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(spark.read.parquet(f"{d}/{name}.parquet")) if name in ("documents", "pages", "conversations") else spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores where its files split into fewer parts than there are cores: one small file would be one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def ready(spark: SparkSession, d: str) -> DataFrame:
