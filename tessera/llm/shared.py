@@ -171,7 +171,9 @@ def cover(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table; one whose files split into fewer parts than there are cores is dealt to all of them."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if table in ("documents", "pages") and df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 class Forest:
