@@ -68,7 +68,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup(read(spark, sf_dir, "documents"), report=True)
+    out = line_dedup.dedup(read(spark, sf_dir, "documents"), report=True, whole=True)
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed_lines").cast("long").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
