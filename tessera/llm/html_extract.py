@@ -229,13 +229,17 @@ class Page:
         return self.widen(node, core, body, last)
 
     def widen(self, node: int, core: int, body: int, last: list[int]) -> int:
-        """The article around the core, or a parent that adds little more than a heading."""
+        """The article around the core that holds all content, or the content's node if articles hold only parts of it; without any, a parent that adds little more than a heading."""
         t = self.tree
-        up = core
+        up, part = core, False
         while up > 0:
             if t.tag[up] in ("article", "main") or t.attrs[up].get("role") == "main":
-                return up
+                if up <= node and last[up] >= last[node]:
+                    return up
+                part = True
             up = t.parent[up]
+        if part:
+            return node
         while node not in (body, 0):
             p = t.parent[node]
             more = self.chars[p] - self.chars[node]

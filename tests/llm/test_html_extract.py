@@ -60,3 +60,9 @@ def test_edges(spark):
     out = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert [(r.page_id, r.url, r.text) for r in out] == [(1, "u", want(LONG)), (2, None, ""), (None, "u", "")]
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_several_articles():
+    part = lambda n: "<article>" + "".join(f"<p>Part {n}, paragraph {i}. {LONG}</p>" for i in range(10)) + "</article>"
+    html = page(NAV + "<div>" + part(1) + part(2) + "</div>" + FOOT)
+    assert H.main_text(html) == want(*(f"Part {n}, paragraph {i}. {LONG}" for n in (1, 2) for i in range(10)))
