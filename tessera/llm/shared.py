@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 M64 = (1 << 64) - 1
 
@@ -29,13 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: the lineage ends there and survives lost executors."""
+def cut(df: DataFrame, name: str, *used) -> DataFrame:
+    """Write df once to the shared folder and read it back: the lineage ends there and survives lost executors. used: broadcasts and cuts that only df reads; they are released."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
+    for x in used:
+        drop_cut(x) if isinstance(x, DataFrame) else x.destroy()
     return out
 
 
@@ -64,7 +67,7 @@ def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def slices(offs: np.ndarray, limit: int = 3_000_000):
+def slices(offs: np.ndarray, limit: int = 300_000):
     """Row ranges whose texts together have at most limit bytes (a longer text stands alone)."""
     n, lo = len(offs) - 1, 0
     while lo < n:
@@ -91,17 +94,20 @@ def word_spans(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[n
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offs), np.int64)
-    m = table[data]
-    first, last = m.copy(), m.copy()
-    first[1:] &= ~m[:-1]
-    last[:-1] &= ~m[1:]
-    edges = offs[1:-1]
-    at = edges[edges < n]
-    first[at] = m[at]
-    at = edges[edges > 0] - 1
-    last[at] = m[at]
-    starts = np.flatnonzero(first)
-    return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offs)
+    # 1 where a word goes on from the byte before; a row's first byte never does
+    m = np.empty(n + 2, bool)
+    m[0] = m[-1] = False
+    m[1:-1] = table[data]
+    edges = np.unique(offs[1:-1])
+    edges = edges[(edges > 0) & (edges < n)]
+    turn = m[1:] != m[:-1]
+    whole = edges[m[edges] & m[edges + 1]]
+    del m
+    places = np.flatnonzero(turn)
+    if len(whole):
+        places = np.sort(np.concatenate((places, whole, whole)))
+    starts, ends = places[::2], places[1::2]
+    return starts, ends, np.searchsorted(starts, offs)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -113,6 +119,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes or words that are hashed at once.
+PIECE = 1 << 18
+
+
 class Rolling:
     """Polynomial hashes modulo 2**64 of arbitrary spans, from one prefix sum and inverse powers of an odd base."""
 
@@ -137,17 +147,40 @@ class Rolling:
         return c
 
     def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """One hash for each byte span."""
-        c = self._prefix(self.table[data])
-        return mix((c[ends] - c[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * self.salt)
+        """One hash for each byte span; starts ascend and spans do not overlap. Long data goes by pieces, so that memory follows the spans and not the bytes."""
+        out = np.empty(len(starts), np.uint64)
+        lo = 0
+        while lo < len(starts):
+            begin = int(starts[lo])
+            hi = max(lo + 1, int(np.searchsorted(ends, begin + PIECE, "right")))
+            s, e = starts[lo:hi] - begin, ends[lo:hi] - begin
+            if e[-1] > PIECE:  # one span longer than a piece
+                out[lo] = self._long(data[begin : begin + int(e[-1])])
+            else:
+                c = self._prefix(self.table[data[begin : begin + int(e[-1])]])
+                out[lo:hi] = (c[e] - c[s]) * self.down[s]
+            lo = hi
+        return mix(out + (ends - starts).astype(np.uint64) * self.salt)
+
+    def _long(self, data: np.ndarray) -> np.uint64:
+        self._powers(PIECE + 1)
+        total, up = 0, 1
+        for i in range(0, len(data), PIECE):
+            part = data[i : i + PIECE]
+            total += int((self.table[part] * self.up[: len(part)]).sum(dtype=np.uint64)) * up
+            up = up * pow(self.base, PIECE, 1 << 64) & M64
+        return np.uint64(total & M64)
 
     def grams(self, words: np.ndarray, k: int) -> np.ndarray:
         """One hash for each k consecutive word hashes, across row borders too."""
         if len(words) < k:
             return np.zeros(0, np.uint64)
-        c = self._prefix(mix(words + self.salt))
-        n = len(words) - k + 1
-        return mix((c[k:] - c[:n]) * self.down[:n])
+        out = np.empty(len(words) - k + 1, np.uint64)
+        for lo in range(0, len(out), PIECE):
+            n = min(PIECE, len(out) - lo)
+            c = self._prefix(mix(words[lo : lo + n + k - 1] + self.salt))
+            out[lo : lo + n] = mix((c[k:] - c[:n]) * self.down[:n])
+        return out
 
 
 def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
@@ -170,10 +203,34 @@ def cover(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(d[:n]) > 0
 
 
+#: A table of at most so many bytes is dealt to all cores if its files split into fewer parts.
+SMALL = 128 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table; one whose files split into fewer parts than there are cores is dealt to all of them."""
+    """A table as its files split; a small one (SMALL) that splits into fewer parts than there are cores is dealt to all of them."""
     df, cores = spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if table in ("documents", "pages") and df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    if table in ("documents", "pages"):
+        plan = df._jdf.queryExecution()
+        if int(plan.optimizedPlan().stats().sizeInBytes().toString()) <= SMALL and plan.toRdd().getNumPartitions() < cores:
+            return df.repartition(cores)
+    return df
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int, least: int = 200_000) -> DataFrame:
+    """left.join(right, key) where right has one row for each key and in `count` how many rows of left have it.
+
+    Keys of more than `least` rows and of a 20,000th of all (so 20,000 keys at most) are broadcast instead of shuffled, so that the rows
+    of a hot key stay where they are.
+    """
+    limit = max(least, total // 20_000)
+    if total <= limit:
+        return left.join(right, key)
+    hot = right.where(F.col(count) > limit)
+    if not hot.take(1):
+        return left.join(right, key)
+    few = F.broadcast(hot)  # total / limit rows at most
+    return left.join(few, key).unionByName(left.join(few.select(key), key, "left_anti").join(right, key))
 
 
 class Forest:
