@@ -212,7 +212,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     df, cores = spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark.sparkContext.defaultParallelism
     if table in ("documents", "pages"):
         plan = df._jdf.queryExecution()
-        if int(plan.optimizedPlan().stats().sizeInBytes().toString()) <= SMALL and plan.toRdd().getNumPartitions() < cores:
+        if int(str(plan.optimizedPlan().stats().sizeInBytes())) <= SMALL and plan.toRdd().getNumPartitions() < cores:
             return df.repartition(cores)
     return df
 
