@@ -5,8 +5,8 @@ Test items and training texts keep the minimum k-word hash of each window of `sp
 hits that reach `span` words mark the document's words. Items of fewer words than `span` are one window of their own length and
 keep every shingle of that length.
 
-The benchmark goes to the tasks in blocks of at most `block_bytes` of text: usually one; a larger benchmark takes several
-passes whose hits are merged, so nothing unbounded is broadcast.
+The benchmark is indexed in blocks of at most `block_bytes` of text, each once on the driver (about 7 bytes a byte of text), and goes to the tasks as
+arrays: usually one block; a larger benchmark takes several passes whose hits are merged, so nothing unbounded is broadcast.
 
 Defined results: null texts have no words and null items no windows; an item without words never occurs; equal items all
 count; a null doc_id gets its own row; a null item_id never counts; extra columns are ignored.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import LOWER, Rolling, class_table, cover, slices, sliding_min, string_buffers, word_spans
+from tessera.llm.shared import LOWER, Rolling, class_table, cover, holds, slices, sliding_min, string_buffers, word_spans
 
 WORD = class_table(bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 
@@ -83,16 +83,17 @@ class Index:
             x.sort()
             self.short[n] = (np.array([h for h, _ in x], np.uint64), np.array([i for _, i in x], np.int64))
         self.filter = {0: self._filter(self.fps)} | {n: self._filter(h) for n, (h, _) in self.short.items()}
+        self.byte, self.roll = Rolling(21), Rolling(22)  # without the tables of powers that they have made
 
     @staticmethod
     def _filter(h: np.ndarray) -> np.ndarray:
-        bits = np.zeros(1 << 20, bool)
-        bits[(h >> np.uint64(44)).astype(np.int64)] = True
+        bits = np.zeros(1 << 18, bool)
+        bits[(h >> np.uint64(46)).astype(np.int64)] = True
         return bits
 
     def _pairs(self, h: np.ndarray, at: np.ndarray, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """For places `at` with hashes h: (place, row of keys) for each equal key."""
-        may = self.filter[n][(h >> np.uint64(44)).astype(np.int64)]
+        may = self.filter[n][(h >> np.uint64(46)).astype(np.int64)]
         h, at = h[may], at[may]
         lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
         count = hi - lo
@@ -149,17 +150,17 @@ def _blocks(bench: DataFrame, block_bytes: int, id_col: str, text_col: str):
         yield [(r.item_id, r.text) for r in part.collect()], n
 
 
-def scan(docs: DataFrame, bench: DataFrame, span: int = 10, k: int = 6, block_bytes: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, bench: DataFrame, span: int = 10, k: int = 6, block_bytes: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, hit_words: number of words in shared windows, items: sorted ids of the items with shared windows)."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(named.dtypes)["doc_id"]
     sc = docs.sparkSession.sparkContext
 
     def one(items, spans: bool):
-        shared = sc.broadcast(items)
+        shared = sc.broadcast(Index(items, span, k))  # of block_bytes of text at most
 
         def run(batches):
-            index = Index(shared.value, span, k)
+            index = shared.value
             for b in batches:
                 total, hit, ids, firsts, lasts = [], [], [], [], []
                 for lo, hi, part, s, e, first in _texts(b.column(1)):
@@ -212,15 +213,16 @@ def scan(docs: DataFrame, bench: DataFrame, span: int = 10, k: int = 6, block_by
     return merged.select("doc_id.doc_id", "n_words", "hit_words", "items", copies.alias("copy")).drop("copy")
 
 
-def clean(docs: DataFrame, bench: DataFrame, span: int = 10, k: int = 6, block_bytes: int = 16_000_000, text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, bench: DataFrame, span: int = 10, k: int = 6, block_bytes: int = 4_000_000, text_col: str = "text") -> DataFrame:
     """docs without the documents that share a window with a test item; each block is one pass that filters the rows."""
     sc, columns = docs.sparkSession.sparkContext, docs.columns
-    place = columns.index(text_col)
+    place, used = columns.index(text_col), []
     for items, _ in _blocks(bench, block_bytes, "item_id", "text"):
-        shared = sc.broadcast(items)
+        shared = sc.broadcast(Index(items, span, k))  # of block_bytes of text at most
+        used.append(shared)
 
         def run(batches, shared=shared):
-            index = Index(shared.value, span, k)
+            index = shared.value
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
                 for lo, hi, part, s, e, first in _texts(b.column(place)):
@@ -230,4 +232,4 @@ def clean(docs: DataFrame, bench: DataFrame, span: int = 10, k: int = 6, block_b
                 yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return holds(docs, *used)

@@ -31,17 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str, *used) -> DataFrame:
-    """Write df once to the shared folder and read it back: the lineage ends there and survives lost executors. used: broadcasts and cuts that only df reads; they are released."""
+    """Write df once to the shared folder and read it back: the lineage ends there and survives lost executors. used, and what holds() named: broadcasts and cuts that only df reads; they are released."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
-    for x in used:
+    for x in (*used, *getattr(df, "_tessera_used", ())):
         drop_cut(x) if isinstance(x, DataFrame) else x.destroy()
     return out
 
 
+def holds(df: DataFrame, *used) -> DataFrame:
+    """df, which alone reads these broadcasts and cuts (and those of DataFrames among them): cut() releases them once df is written."""
+    df._tessera_used = [y for x in used for y in (x, *getattr(x, "_tessera_used", ()))]
+    return df
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete a table made by cut() that nothing reads any more."""
     path = getattr(df, "_tessera_path", None)

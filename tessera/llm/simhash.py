@@ -22,8 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import near_docs
 from tessera.llm.components import connected
-from tessera.llm.shared import LOWER_BYTES, Forest, cut
+from tessera.llm.shared import LOWER_BYTES, Forest, cut, hot_join, mix
 
 
 def fingerprint(text: bytes | None, k: int = 4, seed: int = 42) -> int:
@@ -62,14 +63,13 @@ def _flips(bits: int, most: int) -> list[np.ndarray]:
     return [np.array([m for x in by[: r + 1] for m in x], np.uint64) for r in range(most + 1)]
 
 
-def ball_links(fps: DataFrame, prefix: int = 16, room: int = 4_000_000) -> DataFrame:
+def ball_links(fps: DataFrame, prefix: int = 16, room: int = 4_000_000, buckets: int = 4096) -> DataFrame:
     """fps(fp: distinct longs) -> (a, b): links that connect all fingerprints within 4 bits of each other.
 
-    prefix: bits of a variant that the shuffle is keyed on. room: variants that a task enumerates at once; a larger bucket
+    prefix: bits of a variant that the shuffle is keyed on, by their hash in so many buckets. room: variants that a task enumerates at once; a larger bucket
     is enumerated in rounds by a residue of the variant, so memory stays bounded.
     """
     low = 64 - prefix
-    group = max(0, prefix - 12)
 
     def send(batches):
         near = _flips(prefix, 2)[2]
@@ -81,7 +81,7 @@ def ball_links(fps: DataFrame, prefix: int = 16, room: int = 4_000_000) -> DataF
                 out = np.empty((key.size, 2), np.uint64)
                 out[:, 0] = key.ravel()
                 out[:, 1] = np.repeat(part, len(near))
-                bucket = out[:, 0] >> np.uint64(group)
+                bucket = mix(out[:, 0] + np.uint64(1)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 bucket, out = bucket[order], out[order]
                 at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
@@ -113,7 +113,7 @@ def ball_links(fps: DataFrame, prefix: int = 16, room: int = 4_000_000) -> DataF
                     o = own[i : i + step]
                     v = (rest[o, None] ^ masks[r][None, :]).ravel()
                     w = np.repeat(o, len(masks[r]))
-                    v |= (key[w] & np.uint64((1 << min(group, 16)) - 1)) << np.uint64(low) if low < 64 else np.uint64(0)
+                    v |= key[w] << np.uint64(low)
                     if rounds > 1:
                         keep = (v * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(rounds) == turn
                         v, w = v[keep], w[keep]
@@ -140,17 +140,18 @@ def ball_links(fps: DataFrame, prefix: int = 16, room: int = 4_000_000) -> DataF
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of at most 4 differing bits."""
     fps = cut(fingerprints(docs, id_col, text_col), "fingerprints")
-    own = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    n = own.count()
+    own = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "distinct")
+    n, total = own.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     prefix = min(28, max(16, math.ceil(math.log2(max(2, n))) - 2))
-    roots = connected(ball_links(own, prefix))
-    named = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    entries = n * (1 + prefix + prefix * (prefix - 1) // 2)
+    links = cut(ball_links(own, prefix, buckets=1 << min(24, max(12, (entries // 50_000).bit_length()))), "ball-links")
+    roots = connected(links)
+    named = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "low", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = named.join(least, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = cut(named.join(least, "root").select("fp", "n", "component_id"), "components", links, own)
+    return hot_join(fps, by_fp, "fp", "n", total).select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """docs without all but the document of the smallest doc_id of each component; rows without doc_id stay."""
-    drop = components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+def near_dedup(docs: DataFrame, least: float = 0.8, k: int = 5) -> DataFrame:
+    """docs with one document of each group whose links have a similarity of least or more of their k-word shingles (see near_docs)."""
+    return near_docs.near_dedup(docs, least, k)

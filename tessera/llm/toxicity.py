@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.em import apply, logistic
+from tessera.llm.shared import holds
 
 #: The grammar's word classes.
 INSULTS = frozenset("idiot idiots moron morons stupid scum loser losers pathetic worthless disgusting imbecile dumbass asshole bastard bitch trash clown".split())
@@ -218,4 +219,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col:
             x = np.array([features(matched(t or "", lexicon)) for t in b.column(place).to_pylist()]).reshape(b.num_rows, 2 * len(CLASSES))
             yield b.filter(pa.array(apply(weights, x) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return holds(docs.mapInArrow(run, docs.schema), shared)
