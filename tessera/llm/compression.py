@@ -75,19 +75,21 @@ def duplicate_lines(text: bytes) -> int:
 
 
 def ratios(text: bytes, bands: Bands, packer: zstandard.ZstdCompressor) -> tuple[float, float]:
-    """(ratio of the whole text, share of its bytes in chunks outside the chunk band); a last chunk under half a chunk joins no test."""
+    """(ratio of the whole text, share of its bytes in chunks outside the chunk band).
+
+    What the last chunk lacks it takes from the bytes before it, so every byte is judged in a chunk of full size. A text of at most one chunk is judged as a whole,
+    by the limits of its length.
+    """
     if not text:
         return 0.0, 0.0
-    whole = len(text) / len(packer.compress(text))
-    bad = total = 0
+    whole, bad = len(text) / len(packer.compress(text)), 0
     if len(text) > bands.chunk:
         for i in range(0, len(text), bands.chunk):
-            part = text[i : i + bands.chunk]
-            if 2 * len(part) >= bands.chunk:
-                total += len(part)
-                if not bands.chunk_low <= len(part) / len(packer.compress(part)) <= bands.chunk_high:
-                    bad += len(part)
-    return whole, bad / total if total else 0.0
+            at = min(i, len(text) - bands.chunk)
+            part = text[at : at + bands.chunk]
+            if not bands.chunk_low <= len(part) / len(packer.compress(part)) <= bands.chunk_high:
+                bad += min(bands.chunk, len(text) - i)
+    return whole, bad / len(text)
 
 
 def quality(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

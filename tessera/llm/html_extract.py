@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -50,12 +51,28 @@ class Tree(HTMLParser):
         self.tag, self.parent, self.attrs = ["#root"], [-1], [{}]
         self.events: list[tuple[int, int, str]] = [(0, 0, "")]
         self.stack = [0]
+        self.open: Counter = Counter()  # by tag, so that a search for what is not open costs nothing
 
     def _pop(self) -> None:
-        self.events.append((1, self.stack.pop(), ""))
+        node = self.stack.pop()
+        self.open[self.tag[node]] -= 1
+        self.events.append((1, node, ""))
+
+    def parse_marked_section(self, i, report=1):
+        """A marked section of a kind that the parser does not know goes to the next '>', or is text if there is none."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            end = self.rawdata.find(">", i)
+            return -1 if end < 0 else end + 1
+
+    def unknown_decl(self, data):
+        pass
 
     def _close(self, tags: frozenset, scope: frozenset) -> None:
         """Closes the innermost open element of tags unless an element of scope stands between."""
+        if not any(self.open[t] for t in tags):
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             t = self.tag[self.stack[i]]
             if t in tags:
@@ -82,6 +99,7 @@ class Tree(HTMLParser):
             self.events.append((1, node, ""))
         else:
             self.stack.append(node)
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -89,7 +107,7 @@ class Tree(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in VOID:
+        if tag in VOID or not self.open[tag]:
             return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.tag[self.stack[i]] == tag:
@@ -277,15 +295,16 @@ def main_text(html: str | None) -> str:
     return Page(html).text() if html else ""
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """pages' id and all other columns but the html, with text: the main text, empty if there is none."""
-    rest = [c for c in pages.columns if c not in (id_col, html_col, "text")]
-    named = pages.select(F.col(id_col), *rest, F.col(html_col).alias("html"))
+def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", out_col: str = "text") -> DataFrame:
+    """pages' id and all other columns but the html, with out_col: the main text, empty if there is none. A column of that name is replaced."""
+    rest = [c for c in pages.columns if c not in (html_col, out_col)]
+    named = pages.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(rest)), F.col(html_col).alias("html"))
 
     def run(batches):
         for b in batches:
             text = pa.array([main_text(h) for h in b.column(b.num_columns - 1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], text], [*b.schema.names[:-1], "text"])
 
-    schema = named.drop("html").schema.add("text", "string")
-    return named.mapInArrow(run, schema)
+    out = named.mapInArrow(run, named.drop("html").schema.add("text", "string"))
+    order = [id_col, *(c for c in rest if c != id_col)]
+    return out.select(*(F.col(f"c{rest.index(c)}").alias(c) for c in order), F.col("text").alias(out_col))

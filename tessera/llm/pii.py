@@ -3,11 +3,12 @@
 Exact pattern rules give the base spans. Beside them the method proposes candidate spans (assigned secrets, long opaque tokens,
 titled names) on which labellers vote: pattern, gazetteer and context labellers, each for, against or abstaining.
 Expectation-maximisation over the counts of vote patterns of the whole corpus estimates the labellers' reliabilities; its
-posteriors train the final span classifier, a logistic model on votes and shape, which decides which candidates are added.
+posteriors train the final span classifier, a logistic model on the votes, the shape of the whole span and what stands around it, which decides
+which candidates are added. The patterns of votes and shape classes are a bounded summary, so the fit sees every candidate of the corpus.
 
 Base rules are scanned in time linear in the text: an e-mail grows around each @, an address starts only where a run of digits does.
 
-Defined results: null and empty texts have no spans; a candidate that overlaps a base span is not added; positions are code
+Defined results: null and empty texts have no spans; a candidate that overlaps a base span or an added one is not added; positions are code
 points with the end exclusive; a null id stays null; repeated rows each get their result; other columns are ignored.
 """
 
@@ -15,6 +16,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +71,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     if not ANY.search(text):
         return []
     out = [("email", *x) for x in emails(text)] if "@" in text else []
-    out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(q := p.lstrip("0")) <= 3 and int(q or 0) <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(d := digits(m[0])) <= 19 and luhn(d):
             out.append(("card", *m.span()))
@@ -77,9 +80,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-ASSIGNED = re.compile(r"""\b([A-Za-z][A-Za-z_-]{1,30})["']?[ \t]{0,3}[=:][ \t]{0,3}["']?([A-Za-z0-9+/_.~-]{8,})""")
+ASSIGNED = re.compile(r"""(?<![A-Za-z0-9_-])([A-Za-z][A-Za-z_-]+)["']?[ \t]*[=:][ \t]*["']?([A-Za-z0-9+/_.~-]{8,})""")
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])")
-TITLED = re.compile(r"\b(Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señora?|Monsieur|Madame)\.? ([A-Z][\w'-]{1,30}(?: [A-Z][\w'-]{1,30})?)")
+TITLED = re.compile(r"\b(Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señora?|Monsieur|Madame)\.? ([A-Z][\w'-]+(?: [A-Z][\w'-]+)?)")
 
 #: Names of settings that hold secrets, and common given names.
 SECRET_KEYS = frozenset("password passwd pwd passphrase secret token apikey api_key api-key access_token auth_token access_key secret_key private_key client_secret credential credentials key auth bearer".split())
@@ -93,8 +96,26 @@ def entropy(x: str) -> float:
     return -sum((n := x.count(c) / len(x)) * math.log2(n) for c in set(x))
 
 
+def grade(value: float, *limits: float) -> int:
+    """How many of the limits value reaches."""
+    return sum(value >= x for x in limits)
+
+
+def shape(text: str, s: int, e: int) -> tuple[int, ...]:
+    """Classes of the whole span and of what stands around it: length, digits, capitals, signs, entropy, longest run of letters, vowels, sign before, line begin or end."""
+    x = text[s:e]
+    n = len(x)
+    letters = [c for c in x if c.isalpha()]
+    before = text[s - 1 : s]
+    return (
+        grade(n, 12, 20, 32), grade(sum(c.isdigit() for c in x) / n, 0.01, 0.2, 0.5), grade(sum(c.isupper() for c in x) / n, 0.01, 0.3, 0.7), grade(sum(not c.isalnum() for c in x) / n, 0.01, 0.15),
+        grade(entropy(x), 2.5, 3.2, 3.8), grade(max((len(w) for w in WORDY.findall(x)), default=0), 6, 12), grade(sum(c in "aeiouAEIOU" for c in letters) / max(1, len(letters)), 0.15, 0.3, 0.45),
+        1 if before in ("=", ":", '"', "'") else 2 if before.isspace() or not before else 0, int(text[e : e + 1] in ("", "\n")),
+    )
+
+
 def candidates(text: str) -> list[tuple[str, int, int, tuple]]:
-    """(kind, start, end, pattern): pattern has the labellers' votes and two shape classes."""
+    """(kind, start, end, pattern): pattern has the labellers' votes and the shape's classes."""
     out, taken = [], set()
     found = []
     if "=" in text or ":" in text:
@@ -109,24 +130,38 @@ def candidates(text: str) -> list[tuple[str, int, int, tuple]]:
             1 if has_digit and has_alpha and len(x) >= 12 else 0,  # pattern
             None if not key else int(key in SECRET_KEYS),  # gazetteer
             int(bool(CONTEXT.search(text, max(0, s - 40), s))),  # context
-            1 if entropy(x[:64]) >= 3.0 and has_digit else 0,  # entropy
+            1 if entropy(x) >= 3.0 and has_digit else 0,  # entropy
             0 if longest >= 12 or not has_digit else None,  # words, paths
         )
-        out.append(("secret", s, e, (*votes, min(3, len(x) // 12), int(has_digit))))
+        out.append(("secret", s, e, (*votes, *shape(text, s, e))))
     for m in TITLED.finditer(text):
         first = m[2].split(" ")[0].lower()
         votes = (1, 1 if first in GIVEN else None, 1 if NAME_CONTEXT.search(text, max(0, m.start() - 40), m.start()) else None, 1 if " " in m[2] else None, 0 if m[2].isupper() else None)
-        out.append(("name", m.start(2), m.end(2), (*votes, min(3, len(m[2]) // 6), 0)))
+        out.append(("name", m.start(2), m.end(2), (*votes, *shape(text, m.start(2), m.end(2)))))
+    return out
+
+
+def added(text: str, base: list[tuple[str, int, int]], kept) -> list[tuple[str, int, int]]:
+    """Candidates that kept(kind, pattern) accepts: none overlaps a base span or another; of two that overlap the one that starts first stays, then the longer."""
+    starts, reach = [x[1] for x in base], [-1, *accumulate((x[2] for x in base), max)]
+    out, end = [], -1
+    for kind, s, e, p in sorted(candidates(text), key=lambda x: (x[1], -x[2], KINDS.index(x[0]))):
+        # of the base spans that begin before e, the furthest end
+        if s >= end and s >= reach[bisect_left(starts, e)] and kept(kind, p):
+            out.append((kind, s, e))
+            end = e
     return out
 
 
 N_VOTES = 5
+#: Numbers of classes of the parts of a shape.
+CLASSES = (4, 4, 4, 3, 4, 3, 4, 3, 2)
 
 
 def features(patterns: list[tuple]) -> np.ndarray:
-    """For and against of each labeller, the length class and whether there is a digit."""
-    rows = [[f for v in p[:N_VOTES] for f in (float(v == 1), float(v == 0))] + [float(p[N_VOTES] == i) for i in range(4)] + [float(p[N_VOTES + 1])] for p in patterns]
-    return np.array(rows, float).reshape(len(rows), 2 * N_VOTES + 5)
+    """For and against of each labeller, and the classes of the shape, one column each."""
+    rows = [[f for v in p[:N_VOTES] for f in (float(v == 1), float(v == 0))] + [float(c == i) for c, n in zip(p[N_VOTES:], CLASSES, strict=True) for i in range(n)] for p in patterns]
+    return np.array(rows, float).reshape(len(rows), 2 * N_VOTES + sum(CLASSES))
 
 
 class SpanModel:
@@ -179,7 +214,7 @@ def scan(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_c
             base_rows, all_rows = [], []
             for text in b.column(1).to_pylist():
                 base = base_spans(text or "")
-                more = [(kind, s, e) for kind, s, e, p in candidates(text or "") if (kind, p) in kept and not any(s < y and x < e for _, x, y in base)]
+                more = added(text or "", base, lambda kind, p: (kind, p) in kept)
                 base_rows.append(base)
                 all_rows.append(sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0]))) if more else base)
             cols = [pa.array([[dict(zip(("kind", "start", "end"), x, strict=True)) for x in row] for row in rows], pa.list_(span)) for rows in (base_rows, all_rows)]

@@ -52,3 +52,21 @@ def test_bands(spark):
     assert not compression.quality(spark.createDataFrame([(1, packed)], "doc_id long, text string")).first().kept
     assert len(noise) == 100
     assert compression.quality(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ratios_against_plain_chunks_and_the_tail_counts():
+    import zstandard
+
+    r = random.Random(9)
+    bands, packer = compression.Bands(), zstandard.ZstdCompressor(level=3)
+    for n in (100, 4096, 4097, 5000, 8192, 12_000, 30_000):
+        text = prose(r, n)[:n].encode()
+        if n % 2:
+            text = text[: n // 2] + os.urandom(n - n // 2)
+        bad = 0
+        for i in range(0, n if n > 4096 else 0, 4096):
+            part = text[max(0, min(i, n - 4096)) :][:4096]
+            bad += min(4096, n - i) * (not 1.35 <= len(part) / len(zstandard.ZstdCompressor(level=3).compress(part)) <= 3.0)
+        assert compression.ratios(text, bands, packer) == (n / len(packer.compress(text)), bad / n)
+    junk = prose(r, 3000)[:8192].encode() + os.urandom(2000)
+    assert compression.ratios(junk, bands, packer)[1] > 0

@@ -1,3 +1,7 @@
+import math
+import random
+import time
+
 from tessera.llm import html_extract as H
 
 LONG = "This is a sentence of the article, with several words and a comma. " * 4
@@ -66,3 +70,57 @@ def test_several_articles():
     part = lambda n: "<article>" + "".join(f"<p>Part {n}, paragraph {i}. {LONG}</p>" for i in range(10)) + "</article>"
     html = page(NAV + "<div>" + part(1) + part(2) + "</div>" + FOOT)
     assert H.main_text(html) == want(*(f"Part {n}, paragraph {i}. {LONG}" for n in (1, 2) for i in range(10)))
+
+
+def test_odd_declarations_and_many_end_tags_do_no_harm():
+    assert H.main_text("<![foo[ x ]]> hello") == "hello"
+    assert "<![ x" in H.main_text("<![ x") or H.main_text("<![ x") == ""
+    assert H.main_text("<![if IE]><p>one</p><![endif]><p>two</p>") == "one\ntwo"
+    began = time.time()
+    assert H.main_text("<div>" * 20_000 + "deep" + "</b></i>" * 20_000) == "deep"
+    assert time.time() - began < 5
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "<p>x y</p>", "kept", "c")], "page_id long, raw string, html string, c0 string")
+    out = H.extract(df, html_col="raw")
+    assert out.columns == ["page_id", "html", "c0", "text"] and [tuple(r) for r in out.collect()] == [(1, "kept", "c", "x y")]
+
+
+def test_densities_against_a_recursive_version():
+    r = random.Random(3)
+
+    def tree(depth):
+        if depth == 0 or r.random() < 0.2:
+            return " ".join("w" * r.randint(1, 8) for _ in range(r.randint(0, 12)))
+        tag = r.choice(["div", "p", "a", "span", "section"])
+        return f"<{tag}>" + " ".join(tree(depth - 1) for _ in range(r.randint(1, 4))) + f"</{tag}>"
+
+    for _ in range(60):
+        p = H.Page(page(tree(5)))
+        t = p.tree
+
+        def count(i, link=False):
+            """(characters, tags, link characters, link tags) of a subtree, by its events."""
+            if p.gone[i]:
+                return (0, 0, 0, 0)
+            link = link or t.tag[i] == "a"
+            own = sum(len("".join(x.split())) for k, j, x in t.events if k == 2 and j == i)
+            kids = [count(c, link) for c in p.children[i]]
+            return (own + sum(x[0] for x in kids), 1 + sum(x[1] for x in kids), own * link + sum(x[2] for x in kids), (t.tag[i] == "a") + sum(x[3] for x in kids))
+
+        body = t.tag.index("body")
+        total = count(body)
+        for i, d in enumerate(p.densities()):
+            if i < body or p.gone[i]:
+                continue
+            up, inside = t.parent[i], False
+            while up >= 0:
+                inside |= t.tag[up] == "a"
+                up = t.parent[up]
+            c, n, lc, ln = count(i, inside)
+            if not c:
+                assert d == 0
+                continue
+            base = math.log(c / max(c - lc, 1) * lc + total[2] / total[0] * c + math.e)
+            assert math.isclose(d, c / n * math.log(max(c / max(lc, 1) * n / max(ln, 1), 1.0)) / base, rel_tol=1e-9, abs_tol=1e-12)

@@ -59,3 +59,31 @@ def test_scan_adds_secrets_and_keeps_base(spark):
         if g.doc_id is not None and g.doc_id < 200:
             assert len(added) == (g.doc_id % 4 < 2), (text, added)
     assert pii.scan(df.limit(0)).count() == 0
+
+
+def test_long_numbers_and_long_names_are_read_whole():
+    assert pii.base_spans("0" * 5000 + ".1.2.3") == [("ip", 0, 5006)]
+    assert pii.base_spans("9" * 5000 + ".1.2.3") == [] == pii.base_spans("0" * 5000 + "256.1.2.3")
+    key = "x" * 50 + "_password"
+    text = f"{key}   =      " + "A" * 70 + "9f8e7d6c5b4a39281706"
+    spans = [(k, s, e) for k, s, e, _ in pii.candidates(text) if k == "secret"]
+    assert ("secret", len(key) + 10, len(text)) in spans
+    name = "Dr. " + "Xa" * 40 + " " + "Yb" * 30
+    assert [(s, e) for k, s, e, _ in pii.candidates(name) if k == "name"] == [(4, len(name))]
+    assert not [x for x in pii.candidates("a-" * 200_000 + " =") if x[0] == "name"]  # in linear time
+
+
+def test_added_spans_against_all_pairs():
+    """Greedy choice without overlaps, by a plain quadratic version."""
+    r = random.Random(17)
+    for _ in range(400):
+        text = " ".join(r.choices(["token=0a1b2c3d4e5f60718293a4b5", "key: abcdefgh12345678", "a.b@cd.example.org", "10.0.0.1", "Dr. Anna Berg", "words", "password='x@y.example.com12'", "0123456789abcdef0123"], k=r.randint(1, 8)))
+        base, want = pii.base_spans(text), []
+        keep = {(k, s, e): r.random() < 0.7 for k, s, e, _ in pii.candidates(text)}
+        for k, s, e, _ in sorted(pii.candidates(text), key=lambda x: (x[1], -x[2], pii.KINDS.index(x[0]))):
+            if keep[k, s, e] and not any(s < y and x < e for _, x, y in base + want):
+                want.append((k, s, e))
+        found = pii.added(text, base, lambda kind, p: True)
+        assert all(not (s < y and x < e) for i, (_, s, e) in enumerate(found) for _, x, y in base + found[:i])
+        if all(keep.values()):
+            assert found == want
