@@ -123,4 +123,4 @@ def test_densities_against_a_recursive_version():
                 assert d == 0
                 continue
             base = math.log(c / max(c - lc, 1) * lc + total[2] / total[0] * c + math.e)
-            assert math.isclose(d, c / n * math.log(max(c / max(lc, 1) * n / max(ln, 1), 1.0)) / base, rel_tol=1e-9, abs_tol=1e-12)
+            assert math.isclose(d, c / n * math.log(max(c / max(lc, 1) * n / max(ln, 1), 1.0)) / (math.log(base) if base > 1 + 1e-9 else 1), rel_tol=1e-9, abs_tol=1e-12)
