@@ -1,31 +1,32 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is read clause by clause. Small transducers run over a clause's words and emit what they matched: an insult, a threat
-(intent verb and harm verb), a target (a person addressed or named next to it), a negation in scope, reported speech. They
-compose to clause classes (directed, plain, negated or reported insult; threat), so a matched clause is scored, not an isolated
-word. The insult lexicon is a fixed list and stems that labelled rows teach: beginnings of words that occur nearly only in toxic
-rows and next to many different words (so that copies of one text teach nothing). A logistic model gives the clause classes
-their weights.
+Words and marks of a text are read as symbols (insult, harm verb, intent verb, target, negation, reporting verb, quotation mark, comma, colon, end of
+sentence). A composition of transducers (see `grammar`) matches clauses and writes their classes: directed, plain, negated or reported insult, and
+threat; a matched clause is scored, not an isolated word. The insult lexicon is a fixed list and stems that labelled rows teach:
+beginnings of words that occur nearly only in toxic rows and next to many different words (so that copies of one text teach nothing). A
+logistic model gives the clause classes their weights.
 
-Labels, language, source and ids are never inputs of a score. The fit reads a bounded sample of labelled rows (`sample_rows`,
-by a hash of the id); scoring reads whole texts.
+Labels, language, source and ids are never inputs of a score. The fit reads a bounded sample of labelled rows (`sample_rows`
+by a hash of the id, of `sample_bytes` of text together); scoring reads whole texts.
 
 Defined results: null, empty and clean texts get the score of no matched clause; without labels the fixed list and fixed weights
-are used; a null id is scored (and is no held-out row); repeated rows each get their result; other columns are ignored.
+are used; of several labels of one id the largest counts, of several texts the least; a null id is scored (and is no held-out row); repeated rows each get
+their result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.em import apply, logistic
+from tessera.llm.grammar import CLASSES, Grammar
 from tessera.llm.shared import holds
 
 #: The grammar's word classes.
@@ -35,16 +36,19 @@ NEGATIONS = frozenset("not no never isn't aren't wasn't don't doesn't nobody nic
 REPORTS = frozenset("said says called calls wrote writes quoted claimed reported alleged allegedly sagte nannte dit dijo llamó".split())
 INTENT = frozenset("will shall gonna going want should must werde voy vais i'll we'll".split())
 HARM = frozenset("kill hurt beat stab shoot destroy murder burn töten tuer matar".split())
-QUOTES = frozenset("\"“”„«»")
-CLAUSE = re.compile(r"[.!?;:\n]+|,\s")
-STOP = re.compile(r"[.!?;:\n]")
-TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[\"“”„«»]")
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+MARKS = {"\"": "quote", "“": "quote", "”": "quote", "„": "quote", "«": "quote", "»": "quote", ",": "comma", ":": "colon"}
+ROLES = {w: role for role, words in (("harm", HARM), ("intent", INTENT), ("report", REPORTS), ("negation", NEGATIONS), ("target", TARGETS)) for w in words}
+TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[\"“”„«»,:]|[.!?;]+")
+WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
-CLASSES = ("directed", "plain", "negated", "reported", "threat")
 SHORTEST, LONGEST = 4, 8
 
 
+def plain(text: str) -> str:
+    """Lower case, with one kind of apostrophe."""
+    return text.lower().replace("’", "'")
+
+
 def held_out(id_col: str | Column) -> Column:
     """Rows that are never learnt from: crc32 of the id as text has remainder 2 by 4."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
@@ -66,48 +70,33 @@ class Lexicon:
         return bool(self.any.match(word))
 
 
-def clause_class(words: list[str], lexicon: Lexicon) -> Counter:
-    """Runs the transducers over one clause's words and composes what they emit."""
-    out: Counter = Counter()
-    hits = {i for i, w in enumerate(words) if lexicon.insult(w)}
-    reported = quoted = False
-    negated_until = -1
-    intent_until = -1
-    marks: list[tuple[int, bool, bool]] = []
-    for i, w in enumerate(words):
-        if w in QUOTES:
-            quoted = not quoted
-        elif w in REPORTS:
-            reported = True
-        elif w in NEGATIONS:
-            negated_until = i + 3
-        elif w in INTENT:
-            intent_until = i + 3
-        elif w in HARM and i <= intent_until:
-            out["threat"] += i > negated_until
-        if i in hits:
-            marks.append((i, i <= negated_until, reported or quoted))
-    for i, no, said in marks:
-        near = words[max(0, i - 4) : i] + words[i + 1 : i + 4]
-        kind = "reported" if said else "negated" if no else "directed" if any(x in TARGETS for x in near) else "plain"
-        out[kind] += 1
+GRAMMAR = Grammar()
+
+
+def symbols(line: str, lexicon: Lexicon) -> list[str]:
+    """The symbols of a line, read from the left."""
+    out = []
+    for t in TOKEN.findall(line):
+        mark = MARKS.get(t)
+        if mark:
+            out.append(mark)
+        elif t[0] in ".!?;":
+            out.append("stop")
+        else:
+            out.append("insult" if lexicon.insult(t) else ROLES.get(t, "word"))
     return out
 
 
 def matched(text: str, lexicon: Lexicon) -> Counter:
-    """Clause classes of a whole text; clauses without an insult or harm word are passed over."""
-    low, out = text.lower(), Counter()
-    done = -1
+    """Clause classes of a whole text; lines without an insult or harm word have none and are passed over."""
+    low, out, done = plain(text), Counter(), 0
     spots = sorted([m.start() for m in lexicon.any.finditer(low)] + [m.start() for m in lexicon.harm.finditer(low)])
     for at in spots:
         if at < done:
             continue
-        start = max(low.rfind(c, 0, at) for c in ".!?;:\n") + 1
-        m = STOP.search(low, at)
-        end = m.start() if m else len(low)
-        for clause in CLAUSE.split(low[start:end]):
-            words = TOKEN.findall(clause)
-            out.update(clause_class(words, lexicon))
+        start, end = low.rfind("\n", done, at) + 1 or done, low.find("\n", at)
+        end = len(low) if end < 0 else end
+        out.update(GRAMMAR.classes(symbols(low[start:end], lexicon)))
         done = end
     return out
 
@@ -126,32 +115,41 @@ def learn_stems(rows: list[tuple[str, int]], contexts: int = 8, precision: float
     n = Counter(t for _, t in rows)
     if not n[1] or not n[0]:
         return {}
-    toxic, before = Counter(), defaultdict(set)
+    toxic: Counter = Counter()
+    for text, label in rows:
+        if label:
+            toxic.update({s for w in set(WORD.findall(plain(text))) for s in stems_of(w)})
+    able = {s for s, c in toxic.items() if c >= 3}
     clean: Counter = Counter()
+    known: dict[str, tuple[str, ...]] = {}
+    for text, label in rows:
+        if not label:
+            seen: set[str] = set()
+            for w in set(WORD.findall(plain(text))):
+                if w not in known:
+                    known[w] = tuple(s for s in stems_of(w) if s in able)
+                seen.update(known[w])
+            clean.update(seen)
+    score = {s: toxic[s] / n[1] / (toxic[s] / n[1] + clean[s] / n[0]) for s in able}
+    good = {s for s in able if score[s] >= precision and clean[s] <= 0.02 * toxic[s] * n[0] / n[1]}
+    before: dict[str, set] = {s: set() for s in good}
     for text, label in rows:
-        words = WORD.findall(text.lower())
         if label:
-            seen = set()
+            words = WORD.findall(plain(text))
             for prev, w in zip(["", *words], words, strict=False):
                 for s in stems_of(w):
-                    seen.add(s)
-                    before[s].add(prev)
-            toxic.update(seen)
+                    if s in good:
+                        before[s].add(prev)
     need = max(3, min(contexts, n[1] // 3))
-    able = {s for s, c in toxic.items() if c >= 3 and len(before[s]) >= need}
-    for text, label in rows:
-        if not label:
-            clean.update({s for w in set(WORD.findall(text.lower())) for s in stems_of(w) if s in able})
-    score = {s: toxic[s] / n[1] / (toxic[s] / n[1] + clean[s] / n[0]) for s in able}
-    good = {s for s in able if score[s] >= precision and toxic[s] >= 3 and clean[s] <= 0.02 * toxic[s] * n[0] / n[1]}
+    good = {s for s in good if len(before[s]) >= need}
     # of a chain of beginnings keep the longest that covers most of the shortest's contexts
     out: dict[str, float] = {}
-    for s in sorted(good, key=len):
+    for s in sorted(good, key=lambda x: (len(x), x)):
         bare = s.rstrip("$")
         if any(bare.startswith(x) for x in out if not x.endswith("$")) or s in out:
             continue
         best, spread = s, len(before[s])
-        for x in sorted((x for x in good if x != s and x.rstrip("$").startswith(bare)), key=len):
+        for x in sorted((x for x in good if x != s and x.rstrip("$").startswith(bare)), key=lambda x: (len(x), x)):
             if len(before[x]) >= 0.6 * spread:
                 best = x
         out[best] = score[best]
@@ -180,12 +178,15 @@ class Model:
         return float(apply(self.weights, np.array(features(matched(text, self.lexicon)))))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Model of at most sample_rows labelled rows that are not held out, chosen by a hash of the id."""
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, sample_bytes: int = 48_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Model of labelled rows that are not held out: at most sample_rows, chosen by a hash of the id, and of these the first of sample_bytes of text together."""
     named = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label is not null")
-    chosen = named.where(~held_out("doc_id")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    chosen = named.where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")  # sample_rows rows at most
-    return Model([(r.text, r.label) for r in sorted(texts.dropDuplicates(["doc_id"]).collect(), key=lambda r: r.doc_id)])
+    one = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over sample_rows rows at most
+    few = one.withColumn("bytes", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(before)).where(F.col("bytes") <= sample_bytes)
+    return Model([(r.text, r.label) for r in sorted(few.select("doc_id", "text", "label").collect(), key=lambda r: r.doc_id)])
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

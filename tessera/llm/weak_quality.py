@@ -2,7 +2,7 @@
 
 Labellers vote good, bad or abstain on each document; abstaining is an outcome of its own, with a rate for each class. The counts
 of vote patterns over the whole corpus are a bounded summary on which expectation-maximisation estimates the labellers' rates;
-the posteriors of a bounded sample (about `sample_rows` texts, by a hash) train a hashed linear scorer on word shapes, repeats and
+the posteriors of a bounded sample (about `sample_rows` texts, by a hash, of `sample_bytes` together) train a hashed linear scorer on word shapes, repeats and
 words, which scores whole texts.
 
 Defined results: a null or wordless text has all labellers abstain and scores by the bias alone; a null id stays null; repeated rows each
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import LOWER, NOT_SPACE, Rolling, cover, mix, slices, string_buffers, word_spans
@@ -44,7 +44,7 @@ class Words:
         self.n = np.diff(first)
         self.doc = np.repeat(np.arange(len(at) - 1), self.n)
         kind = KIND[part]
-        self.kinds = np.bitwise_or.reduceat(kind, s) * 1 if len(s) else np.zeros(0, np.uint8)
+        self.kinds = np.zeros(0, np.uint8)
         upper = np.concatenate(([0], np.cumsum(kind & UPPER > 0)))
         letters = np.concatenate(([0], np.cumsum(kind & LETTER > 0)))
         self.letter_count, self.upper_count = (c[e] - c[s] for c in (letters, upper))
@@ -191,13 +191,15 @@ def train_scorer(texts: list[str], labels: Outcomes, rounds: int = 40, rate: flo
     return weights
 
 
-def scores(docs: DataFrame, sample_rows: int = 4_000, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scores(docs: DataFrame, sample_rows: int = 4_000, sample_bytes: int = 32_000_000, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, posterior: of the labellers' votes, score: of the linear scorer, predicted: 1 for good)."""
     patterns, counts = pattern_counts(docs, text_col)
     labels = Outcomes().fit(patterns, counts)
     share = min(1.0, sample_rows / max(1.0, counts.sum()))
     place = F.pmod(F.xxhash64(F.col(text_col), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     sample = docs.select(F.col(text_col).alias("text")).where(F.col(text_col).isNotNull() & (place < share)).distinct()
+    before = Window.orderBy(F.xxhash64("text"), "text").rowsBetween(Window.unboundedPreceding, 0)  # over about sample_rows rows
+    sample = sample.withColumn("bytes", F.sum(F.octet_length("text")).over(before)).where(F.col("bytes") <= sample_bytes)
     weights = train_scorer(sorted(r.text for r in sample.collect()), labels)
     shared = docs.sparkSession.sparkContext.broadcast((labels.prior, labels.rate, weights))
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
