@@ -8,20 +8,22 @@ another occurrence exactly if their hashes agree, so a group of n occurrences co
 Consecutive matching windows join to maximal repeats, reported as word ranges. A window's identity is 112 bits (the
 64-bit anchor and 48 bits of an independent hash).
 
+An anchor of more than `hot` occurrences (as a sample of the documents shows; the sample decides only the way, not the result) is not gathered in a task:
+its windows become rows, the smallest document of each window is an aggregate with map-side combining, and a join that leaves hot windows where they
+are finds the windows of larger documents.
+
 Defined results: a null or wordless text has 0 words; a null doc_id neither loses words nor covers others; repeats within one
-document stay; doc_id names the document, so rows repeated with one id count as one; other columns are ignored.
+document stay; rows of one doc_id never cover each other, but each row loses what smaller ids have; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import NOT_SPACE, Rolling, cover, mix, slices, sliding_min, string_buffers, word_spans
+from tessera.llm.shared import NOT_SPACE, Rolling, cover, cut, hot_join, mix, slices, sliding_min, string_buffers, word_spans
 
 CELL = 6
 
@@ -31,12 +33,12 @@ def _cells(h: np.ndarray) -> np.ndarray:
 
 
 def window_runs(docs: DataFrame, span: int = 50, k: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(anchor, doc_id, start, windows): for each run of windows of one document with one anchor, the first word and the packed hashes."""
+    """(anchor, doc_id, version: hash of the text, start, windows): for each run of windows of one document with one anchor, the first word and the packed hashes."""
 
     def run(batches):
         byte_hash, seed_hash, window_hash = Rolling(11), Rolling(12), Rolling(13)
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            ids, versions = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             raw, offs = string_buffers(b.column(1))
             for lo, hi in slices(offs):
                 part, at = raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
@@ -55,12 +57,12 @@ def window_runs(docs: DataFrame, span: int = 50, k: int = 16, id_col: str = "doc
                 cells = np.ascontiguousarray(_cells(whole[w]))
                 load = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(w)).astype(np.int64) * CELL), pa.py_buffer(cells)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a[at].view(np.int64)), pa.array(ids[lo + d[at]]), pa.array((w[at] - first[d[at]]).astype(np.int32)), load.cast(pa.binary())],
-                    ["anchor", "doc_id", "start", "windows"],
+                    [pa.array(a[at].view(np.int64)), pa.array(ids[lo + d[at]]), pa.array(versions[lo + d[at]]), pa.array((w[at] - first[d[at]]).astype(np.int32)), load.cast(pa.binary())],
+                    ["anchor", "doc_id", "version", "start", "windows"],
                 )
 
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return named.where("doc_id is not null and text is not null").mapInArrow(run, "anchor long, doc_id long, start int, windows binary")
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("version"))
+    return named.where("doc_id is not null and text is not null").mapInArrow(run, "anchor long, doc_id long, version long, start int, windows binary")
 
 
 def _covered(t: pa.Table, span: int) -> pa.RecordBatch | None:
@@ -94,44 +96,88 @@ def _covered(t: pa.Table, span: int) -> pa.RecordBatch | None:
     of = row[begin]
     start = t.column("start").to_numpy()[of].astype(np.int64) - offs[of] // CELL
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc[of]), pa.array((start + begin).astype(np.int32)), pa.array((start + end + span).astype(np.int32))], ["doc_id", "first", "last"]
+        [pa.array(doc[of]), pa.array(t.column("version").to_numpy()[of]), pa.array((start + begin).astype(np.int32)), pa.array((start + end + span).astype(np.int32))], ["doc_id", "version", "first", "last"]
     )
 
 
-def repeats(docs: DataFrame, span: int = 50, k: int = 16, id_col: str = "doc_id", text_col: str = "text", hold: int = 200_000) -> DataFrame:
-    """(doc_id, first, last): word ranges [first, last) of maximal repeats of span words or more that a smaller document has too, by anchor.
+def hot_anchors(docs: DataFrame, span: int, k: int, id_col: str, text_col: str, hot: int, share: int) -> np.ndarray:
+    """Anchors of more than hot occurrences, by the documents whose text's hash is divisible by share; sorted."""
+    some = window_runs(docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(share)) == 0), span, k, id_col, text_col)
+    least = max(hot // share, 16)
+    rows = some.groupBy("anchor").count().where(F.col("count") > least).orderBy(F.desc("count"), "anchor").limit(1 << 20).collect()  # the most frequent 2**20 at most
+    return np.sort(np.array([r.anchor for r in rows], np.int64))
+
+
+def hot_repeats(runs: DataFrame, span: int) -> DataFrame:
+    """repeats for the runs of hot anchors, a row for each window."""
+
+    def windows(batches):
+        for b in batches:
+            raw, offs = string_buffers(b.column(4))
+            n = np.diff(offs) // CELL
+            cells = np.zeros((len(raw) // CELL, 8), np.uint8)
+            cells[:, :CELL] = raw.reshape(-1, CELL)
+            row = np.repeat(np.arange(len(n)), n)
+            a, d, v, s = (b.column(i).to_numpy(zero_copy_only=False)[row] for i in range(4))
+            first = s + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(cells.view("<i8").ravel()), pa.array(d), pa.array(v), pa.array(first.astype(np.int32))], ["anchor", "window", "doc_id", "version", "first"])
+
+    rows = cut(runs.mapInArrow(windows, "anchor long, window long, doc_id long, version long, first int").withColumn("key", F.struct("anchor", "window")), "hot-windows")
+    least = cut(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")), "hot-least")
+    found = hot_join(rows, least.where("most > least").select("key", "least", "n"), "key", "n", rows.count()).where("doc_id > least")
+    return cut(found.select("doc_id", "version", "first", (F.col("first") + span).alias("last")), "hot-repeats", rows, least)
+
+
+def repeats(docs: DataFrame, span: int = 50, k: int = 16, id_col: str = "doc_id", text_col: str = "text", hold: int = 100_000, hot: int = 50_000, share: int = 16) -> DataFrame:
+    """(doc_id, version, first, last): word ranges [first, last) of maximal repeats of span words or more that a smaller document has too, by anchor.
 
     hold: rows after which a task works off the groups that it has complete.
     """
+    many = hot_anchors(docs, span, k, id_col, text_col, hot, share)
+    shared = docs.sparkSession.sparkContext.broadcast(many)  # 2**20 anchors at most
+
+    def pick(wanted: bool):
+        def run(batches):
+            hot_ones = shared.value
+            for b in batches:
+                a = b.column(0).to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(hot_ones, a), len(hot_ones) - 1)
+                yield b.filter(pa.array((hot_ones[at] == a) == wanted))
+
+        return run
 
     def extend(batches):
-        held, rows = [], 0
+        held, rows, first = [], 0, None
         for b in batches:
+            if not b.num_rows:
+                continue
             held.append(pa.Table.from_batches([b]))
             rows += b.num_rows
-            if rows < hold or not b.num_rows:
+            first = b.column(0)[0].as_py() if first is None else first
+            last = b.column(0)[b.num_rows - 1].as_py()
+            if rows < hold or first == last:
                 continue
             t = pa.concat_tables(held)
-            anchor = t.column("anchor").to_numpy()
-            done = int(np.searchsorted(anchor, anchor[-1], "left"))
-            if done:
-                out = _covered(t.slice(0, done), span)
-                if out is not None:
-                    yield out
-                held, rows = [t.slice(done).combine_chunks()], rows - done
+            done = int(np.searchsorted(t.column("anchor").to_numpy(), last, "left"))
+            out = _covered(t.slice(0, done), span)
+            if out is not None:
+                yield out
+            held, rows, first = [t.slice(done).combine_chunks()], rows - done, last
         if rows:
             out = _covered(pa.concat_tables(held), span)
             if out is not None:
                 yield out
 
-    runs = window_runs(docs, span, k, id_col, text_col).repartition("anchor").sortWithinPartitions("anchor")
-    return runs.mapInArrow(extend, "doc_id long, first int, last int")
+    runs = window_runs(docs, span, k, id_col, text_col)
+    cold = runs.mapInArrow(pick(False), runs.schema) if len(many) else runs
+    out = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(extend, "doc_id long, version long, first int, last int")
+    return out.union(hot_repeats(runs.mapInArrow(pick(True), runs.schema), span)) if len(many) else out
 
 
-def dedup(docs: DataFrame, span: int = 50, k: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, span: int = 50, k: int = 16, id_col: str = "doc_id", text_col: str = "text", hot: int = 50_000) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept are the words outside repeats, joined by one space."""
-    found = repeats(docs, span, k, id_col, text_col).groupBy("doc_id").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
-    joined = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).join(found, "doc_id", "left")
+    found = repeats(docs, span, k, id_col, text_col, hot=hot).groupBy("doc_id", "version").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
+    joined = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("version")).join(found, ["doc_id", "version"], "left")
 
     def keep(batches):
         for b in batches:
@@ -149,6 +195,3 @@ def dedup(docs: DataFrame, span: int = 50, k: int = 16, id_col: str = "doc_id",
 
     return joined.select("doc_id", "text", "firsts", "lasts").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))
 
-
-def sha256_hex(text: bytes) -> str:
-    return hashlib.sha256(text).hexdigest()

@@ -42,3 +42,31 @@ def test_null_id_and_empty_table(spark):
     got = {x.doc_id: x.n_removed for x in substring_dedup.dedup(df, 5, 2).collect()}
     assert got == {None: 0, 1: 0, 2: 6}
     assert substring_dedup.dedup(df.limit(0), 5, 2).count() == 0
+
+
+def test_hot_anchors_give_the_same_result(spark):
+    r = random.Random(7)
+    vocab = ["w%d" % i for i in range(300)]
+    passage = r.choices(vocab, k=40)
+    rows = []
+    for i in range(300):
+        w = r.choices(vocab, k=r.randint(0, 40))
+        at = r.randint(0, len(w))
+        w[at:at] = passage[r.randint(0, 5) :] if i % 2 else passage
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert len(substring_dedup.hot_anchors(df, 12, 5, "doc_id", "text", 1, 1)) > 0
+    want = brute(rows, 12)
+    for hot, share in ((1, 1), (10**9, 16)):
+        ranges = substring_dedup.repeats(df, 12, 5, hot=hot, share=share).collect()
+        gone = {i: set() for i, _ in rows}
+        for x in ranges:
+            gone[x.doc_id].update(range(x.first, x.last))
+        assert {i: len(g) for i, g in gone.items()} == {i: n for i, (_, n, _) in want.items()}
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    a, b = " ".join("abcdefghij"), " ".join("klmnopqrst")
+    df = spark.createDataFrame([(1, a), (2, a), (2, b), (2, a), (2, b)], "doc_id long, text string")
+    got = sorted((x.doc_id, x.n_removed, x.kept) for x in substring_dedup.dedup(df, 5, 2).collect())
+    assert got == [(1, 0, a), (2, 0, b), (2, 0, b), (2, 10, ""), (2, 10, "")]
