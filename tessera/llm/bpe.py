@@ -60,6 +60,7 @@ class Vocabulary:
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank = np.append(keys[order], NONE), np.append(order, 0).astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.ranks: dict[int, int] | None = None
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, NONE where it does not merge; a negative id is no symbol."""
@@ -111,6 +112,50 @@ class Vocabulary:
         alive = sym[:, :size] >= 0
         return sym[:, :size][alive], alive.sum(1)
 
+    def merge_one(self, data: np.ndarray) -> np.ndarray:
+        """Ids of one long pre-token: the same segment tree in plain integers, where columns of one row would cost more than they save."""
+        if self.ranks is None:
+            self.ranks = dict(zip(self.keys[:-1].tolist(), self.rank[:-1].tolist(), strict=True))
+        ranks, merged, none = self.ranks, self.merged, int(NONE)
+        n = len(data)
+        size = 1 << max(0, (n - 1).bit_length())
+        sym = self.byte_id[data].tolist()
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        tree = [none] * (2 * size)
+
+        def leaf(p: int) -> int:
+            q = after[p]
+            r = none if q < 0 else ranks.get(sym[p] * KEY + sym[q], none)
+            return none if r == none else r * size + p
+
+        for p in range(n):
+            tree[size + p] = leaf(p)
+        for i in range(size - 1, 0, -1):
+            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+
+        def put(p: int, value: int) -> None:
+            i = size + p
+            tree[i] = value
+            while i > 1:
+                i >>= 1
+                low = min(tree[2 * i], tree[2 * i + 1])
+                if tree[i] == low:
+                    return
+                tree[i] = low
+
+        while size > 1 and tree[1] < none:
+            p = tree[1] % size
+            q = after[p]
+            sym[p], sym[q] = int(merged[tree[1] // size]), -1
+            after[p] = after[q]
+            if after[q] >= 0:
+                before[after[q]] = p
+            put(q, none)
+            put(p, leaf(p))
+            if before[p] >= 0:
+                put(before[p], leaf(before[p]))
+        return np.array([x for x in sym if x >= 0], np.int64)
+
     def decode_bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all ids, and where each id's bytes end."""
         lens = self.token_len[ids]
@@ -122,7 +167,7 @@ class Vocabulary:
 class Encoder:
     """Encodes slices of texts; memo: pre-tokens that are remembered at most."""
 
-    def __init__(self, vocab: Vocabulary, memo: int = 300_000):
+    def __init__(self, vocab: Vocabulary, memo: int = 200_000):
         self.vocab, self.memo = vocab, memo
         self.find = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocab.special, key=len, reverse=True))) + ")") if vocab.special else None
@@ -151,11 +196,17 @@ class Encoder:
         power = np.ceil(np.log2(lens)).astype(int)
         base = len(self.count)
         self.index.update(zip(new, range(base, base + len(new)), strict=True))
-        parts: list = [None] * len(new)
         counts = np.zeros(len(new), np.int64)
         flat, where = [], []
         for e in np.unique(power):
             own = np.flatnonzero(power == e)
+            if e >= 8 and len(own) <= 1 << (e - 4):  # few long ones
+                for o in own:
+                    ids = self.vocab.merge_one(data[starts[o] : starts[o] + lens[o]])
+                    counts[o] = len(ids)
+                    flat.append(ids)
+                    where.append(np.array([o]))
+                continue
             step = max(1, (1 << 21) >> int(e))
             for i in range(0, len(own), step):
                 o = own[i : i + step]
@@ -168,7 +219,6 @@ class Encoder:
         for ids, o in zip(flat, where, strict=True):
             n = counts[o]
             out[np.repeat(at[o] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
-        del parts
         self.ids, self.count = np.concatenate((self.ids, out)), np.concatenate((self.count, counts))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +249,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
         encoder = Encoder(vocab)
         for b in batches:
             _, offs = string_buffers(b.column(1))
-            for lo, hi in slices(offs, 2_000_000):
+            for lo, hi in slices(offs, 1_000_000):
                 ids, at = encoder.encode([t or "" for t in b.column(1).slice(lo, hi - lo).to_pylist()])
                 data, ends = vocab.decode_bytes(ids)
                 data, ends = data.tobytes(), np.concatenate(([0], ends))[at].tolist()

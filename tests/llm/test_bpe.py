@@ -35,3 +35,18 @@ def test_small_memo_and_empty_table(spark):
     for t in texts():
         assert small.encode([t or ""])[0].tolist() == large.encode([t or ""])[0].tolist()
     assert bpe.encode_decode(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_long_pre_tokens_match_the_library():
+    import time
+
+    t = Tokenizer.from_file(PATH)
+    with open(PATH) as f:
+        vocab = bpe.Vocabulary(f.read())
+    r = random.Random(6)
+    began = time.time()
+    for text in ("a" * 100_000, "".join(r.choices("etaoinshr", k=60_000)), "".join(r.choices("中文字漢", k=5000)), "ab" * 300, "x" * 256, "xy" * 128 + "z"):
+        ids, at = bpe.Encoder(vocab).encode([text, "short", text[:300]])
+        for i, x in enumerate((text, "short", text[:300])):
+            assert ids[at[i] : at[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids
+    assert time.time() - began < 30
