@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import block_fingerprint, fingerprint
+from tessera.plans.prefix import running_sum
 
 
 def per_source(chunks: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
@@ -61,9 +62,8 @@ def shard_guard(found: set[int], complete: set[int], expected: int) -> tuple[int
 
 def replay(chunks: DataFrame, taken: DataFrame, shard: str = "shard", source: str = "source", order: str = "mix_pos", text: str = "text") -> DataFrame:
     """(source, total, distinct_n, factor) of the chunks that shards have taken: of each shard the first `n` of taken(shard, n) in mix order."""
-    place = F.row_number().over(Window.partitionBy(shard).orderBy(order))
-    used = chunks.withColumn("__rn", place).join(taken, shard).where("__rn <= n")
-    return per_source(used, source, text)
+    placed = running_sum(chunks, [shard], order, F.lit(1), "__place")
+    return per_source(placed.join(taken, shard).where("__place < n"), source, text)
 
 
 def report(chunks: DataFrame, shards: int, shard_tokens: int, path: str, shard: str = "shard") -> None:

@@ -228,7 +228,7 @@ def row_summary(df: DataFrame, block_size: int, n: int = 1024, order: str = "blo
 
     Rows whose arrays differ in length or exceed the block, and a table without any supervised label, are errors.
     """
-    from tessera.operators.metrics import quantile_nearest
+    from tessera.operators.metrics import nearest_of_few
 
     active = F.filter(F.transform("labels", lambda x, i: F.when(x != fixed.IGNORED, i)), lambda i: i.isNotNull())
     fits = (F.size("input_ids") == F.size("labels")) & (F.size("input_ids") <= block_size)
@@ -237,8 +237,8 @@ def row_summary(df: DataFrame, block_size: int, n: int = 1024, order: str = "blo
     k = F.when(F.col("k") > 0, F.col("k"))
     half = lambda c: F.floor(F.percentile(c, 0.5)).cast("int")
     out = own.agg(
-        F.count("*").alias("rows_checked"), F.count(k).alias("supervised_rows"), half("size").alias("seq_len_p50"), quantile_nearest(F.col("size"), 0.9).alias("seq_len_p90"),
-        half(k).alias("supervised_tokens_p50"), quantile_nearest(k, 0.9).alias("supervised_tokens_p90"), half("first").alias("first_supervised_p50"), quantile_nearest(F.col("first"), 0.9).alias("first_supervised_p90"),
+        F.count("*").alias("rows_checked"), F.count(k).alias("supervised_rows"), half("size").alias("seq_len_p50"), nearest_of_few(F.col("size"), 0.9).alias("seq_len_p90"),
+        half(k).alias("supervised_tokens_p50"), nearest_of_few(k, 0.9).alias("supervised_tokens_p90"), half("first").alias("first_supervised_p50"), nearest_of_few(F.col("first"), 0.9).alias("first_supervised_p90"),
     )
     return out.withColumn("supervised_rows", F.when(F.col("supervised_rows") > 0, F.col("supervised_rows")).otherwise(F.raise_error(F.lit("no supervised labels")).cast("long")))
 

@@ -10,18 +10,39 @@ def _by(run: str, step: str) -> Window:
     return Window.partitionBy(run).orderBy(step)
 
 
-def ema(df: DataFrame, run: str = "run", step: str = "step", value: str = "loss", keep: float = 0.7) -> DataFrame:
-    """(run, step, value, smoothed): s = keep * s + (1 - keep) * x, from the first value on. A fold over each run's series."""
-    series = df.groupBy(run).agg(F.sort_array(F.collect_list(F.struct(step, value))).alias("s"))
+def affine_scan(df: DataFrame, run: str, block: int = 256) -> DataFrame:
+    """df(run, i: 0, 1, 2 ... in each run, a, b) -> (run, i, s): s = a * (s before) + b, and b alone where a is 0.
+
+    Each block of rows composes its maps into prefixes; the blocks' last prefixes are maps of their own, which the same scan carries on. So no row
+    holds more than a block, whatever a run's length, and the number of levels is its logarithm to the base of block.
+    """
+    first = lambda a, b, carry: F.when(a == 0, b).otherwise(a * carry + b)
+    rows = df.groupBy(run, F.floor(F.col("i") / block).cast("long").alias("k")).agg(F.sort_array(F.collect_list(F.struct("i", "a", "b"))).alias("rows"))
 
     def fold(done, x):
         last = F.try_element_at(done, F.lit(-1))
-        smooth = F.coalesce(F.lit(keep) * last["smoothed"] + F.lit(1 - keep) * x[value], x[value])
-        return F.concat(done, F.array(F.struct(x[step].alias(step), x[value].alias(value), smooth.alias("smoothed"))))
+        a, b = F.coalesce(last["a"] * x["a"], x["a"]), F.when(last.isNull() | (x["a"] == 0), x["b"]).otherwise(x["a"] * last["b"] + x["b"])
+        return F.concat(done, F.array(F.struct(x["i"].alias("i"), a.alias("a"), b.alias("b"))))
+
+    zero = F.array().cast("array<struct<i:bigint,a:double,b:double>>")
+    own = rows.select(run, "k", F.aggregate("rows", zero, fold).alias("p"))
+    last = F.element_at("p", -1)
+    if df.agg(F.max("i")).first()[0] is None or own.agg(F.max("k")).first()[0] == 0:
+        return own.select(run, F.explode("p").alias("x")).select(run, "x.i", F.col("x.b").alias("s"))
+    ends = affine_scan(own.select(run, F.col("k").alias("i"), last["a"].alias("a"), last["b"].alias("b")), run, block)
+    carry = ends.select(F.col(run).alias("__run"), (F.col("i") + 1).alias("__k"), F.col("s").alias("__carry"))
+    joined = own.join(carry, F.col(run).eqNullSafe(F.col("__run")) & (F.col("k") == F.col("__k")), "left")
+    return joined.select(run, F.explode("p").alias("x"), "__carry").select(run, "x.i", first(F.col("x.a"), F.col("x.b"), F.coalesce("__carry", F.lit(0.0))).alias("s"))
 
-    kinds = dict(df.dtypes)
-    zero = F.array().cast(f"array<struct<{step}:{kinds[step]},{value}:{kinds[value]},smoothed:double>>")
-    return series.select(run, F.explode(F.aggregate("s", zero, fold)).alias("x")).select(run, "x.*")
+
+def ema(df: DataFrame, run: str = "run", step: str = "step", value: str = "loss", keep: float = 0.7) -> DataFrame:
+    """(run, step, value, smoothed): s = keep * s + (1 - keep) * x, from the first value on; a null gives null, and the next value begins anew."""
+    w = _by(run, step)
+    x, before = F.col(value).cast("double"), F.lag(value).over(w)
+    fresh = before.isNull() | F.col(value).isNull()
+    own = df.select(run, step, value).withColumn("i", (F.row_number().over(w) - 1).cast("long")).withColumn("a", F.when(fresh, 0.0).otherwise(F.lit(keep))).withColumn("b", F.when(fresh, x).otherwise(F.lit(1 - keep) * x))
+    done = affine_scan(own.select(run, "i", "a", "b"), run).select(F.col(run).alias("__run"), F.col("i").alias("__i"), F.col("s").alias("smoothed"))
+    return own.join(done, F.col(run).eqNullSafe(F.col("__run")) & (F.col("i") == F.col("__i"))).select(run, step, value, "smoothed")
 
 
 def smoothed_minimum(smoothed: DataFrame, run: str = "run", step: str = "step") -> DataFrame:
@@ -38,8 +59,9 @@ def lr_ceiling(df: DataFrame, run: str = "run") -> DataFrame:
     ready = df.where("loss is not null and lr is not null")
     counted = ready.withColumn("rn", F.row_number().over(_by(run, "step"))).withColumn("n", F.count("*").over(Window.partitionBy(run))).where("n >= 10")
     mid = F.greatest(F.floor(F.col("n") / 2), F.lit(1))
-    half = counted.where(F.col("rn") <= mid).where("grad_norm is not null").groupBy(run).agg(F.sort_array(F.collect_list("grad_norm")).alias("g"), F.first(mid).alias("mid"))
-    base = half.select(run, F.try_element_at("g", (F.floor(F.col("mid") / 2) + 1).cast("int")).alias("base"))
+    half = counted.where(F.col("rn") <= mid).where("grad_norm is not null").withColumn("mid", mid)
+    placed = half.withColumn("place", F.row_number().over(Window.partitionBy(run).orderBy("grad_norm", "step")))
+    base = placed.where(F.col("place") == F.floor(F.col("mid") / 2) + 1).select(run, F.col("grad_norm").alias("base"))
     smooth = ema(counted, run).select(run, "step", "smoothed")
     low = smoothed_minimum(smooth, run)
     all_ = counted.join(smooth, [run, "step"]).join(low, run).join(base, run, "left")
@@ -151,24 +173,55 @@ def lr_sweep(low: float, high: float, steps: int, step: str = "id") -> Column:
 # --- quantiles and means -----------------------------------------------------------------------------------------------
 
 
-def quantile_linear(value, q: float) -> Column:
-    return F.percentile(value, q)
+def linear(q: float):
+    """Between the ranks around (n - 1) * q. A kind of quantile is a function of the number of values: (lower rank from 0, higher rank, the higher's share)."""
+    return lambda n: (F.floor((n - 1) * F.lit(q)), F.ceil((n - 1) * F.lit(q)), (n - 1) * F.lit(q) - F.floor((n - 1) * F.lit(q)))
 
 
-def quantile_nearest(value, q: float) -> Column:
+def nearest(q: float):
     """Nearest rank at (n - 1) * q, halves to even."""
-    s = F.sort_array(F.collect_list(value))
-    return F.try_element_at(s, F.greatest((F.bround((F.size(s) - 1) * F.lit(q)) + 1).cast("int"), F.lit(1)))
+    rank = lambda n: F.bround((n - 1) * F.lit(q))
+    return lambda n: (rank(n), rank(n), F.lit(0.0))
+
+
+def exclusive(parts: int, i: int):
+    """The i-th of the parts - 1 cut points at (n + 1) * i / parts; null for a single value."""
+
+    def ranks(n):
+        j = F.least(F.greatest(F.floor((n + 1) * i / parts), F.lit(1)), n - 1)
+        return F.when(n > 1, j - 1), F.when(n > 1, j), ((n + 1) * i - j * parts) / parts
 
+    return ranks
 
-def quantile_exclusive(value, parts: int, i: int) -> Column:
-    """The i-th of the parts - 1 cut points at (n + 1) * i / parts."""
+
+def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict) -> DataFrame:
+    """(keys, one column for each name of wanted: a kind of quantile of value): nulls do not count.
+
+    Equal values collapse first, with partial sums before the shuffle, and ranks are running sums of their counts, so no group's values are gathered.
+    """
+    from tessera.plans.prefix import running_sum
+
+    seen = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    ranked = running_sum(seen, keys, "__v", "__n", "__from")
+    total = ranked.groupBy(*keys).agg(F.sum("__n").alias("__all"))
+    if keys:
+        both = ranked.alias("l").join(total.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]).select(*(F.col(f"l.{k}") for k in keys), "__v", "__n", "__from", "__all")
+    else:
+        both = ranked.crossJoin(total)  # one row
+    at = lambda rank: F.max(F.when((rank >= F.col("__from")) & (rank < F.col("__from") + F.col("__n")), F.col("__v")))
+    columns = []
+    for name, kind in wanted.items():
+        low, high, share = kind(F.col("__all"))
+        columns += [at(low).alias(f"{name}__low"), at(high).alias(f"{name}__high"), F.max(share).alias(f"{name}__share")]
+    out = both.groupBy(*keys).agg(*columns)
+    between = lambda name: F.col(f"{name}__low") + (F.col(f"{name}__high") - F.col(f"{name}__low")) * F.col(f"{name}__share")
+    return out.select(*keys, *(between(name).alias(name) for name in wanted))
+
+
+def nearest_of_few(value, q: float) -> Column:
+    """Nearest rank of a group of bounded size, as an aggregate."""
     s = F.sort_array(F.collect_list(value))
-    n = F.size(s)
-    j = F.least(F.greatest(F.floor((n + 1) * i / parts).cast("int"), F.lit(1)), n - 1)
-    delta = (n + 1) * i - j * parts
-    at = lambda i: F.try_element_at(s, F.greatest(i, F.lit(1)))
-    return F.when(n >= 2, (at(j) * (parts - delta) + at(j + 1) * delta) / parts)
+    return F.try_element_at(s, F.greatest((F.bround((F.size(s) - 1) * F.lit(q)) + 1).cast("int"), F.lit(1)))
 
 
 def guarded_mean(value) -> Column:

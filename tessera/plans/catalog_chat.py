@@ -25,19 +25,25 @@ def query(sql: str | None = None):
     return put
 
 
-#: The table has no neighbours of one role, no other role names and no later system turns: dropped and renamed turns make some.
-TURNS = """(SELECT conv_id, turn, CASE WHEN role = 'user' AND conv_id % 3 = 0 THEN ' Human ' WHEN role = 'assistant' AND conv_id % 4 = 0 THEN 'GPT' WHEN role = 'user' AND (conv_id * 7 + turn) % 11 = 5 THEN 'system'
+#: The table has no neighbours of one role, no other role names and no later system turns: turns whose role is swapped or renamed make some.
+SWAPPED = "(SELECT * REPLACE (CASE WHEN (conv_id + turn) % 5 = 3 AND role = 'user' THEN 'assistant' WHEN (conv_id + turn) % 5 = 3 AND role = 'assistant' THEN 'user' ELSE role END AS role) FROM conversations)"
+TURNS = f"""(SELECT conv_id, turn, CASE WHEN role = 'user' AND conv_id % 3 = 0 THEN ' Human ' WHEN role = 'assistant' AND conv_id % 4 = 0 THEN 'GPT' WHEN role = 'user' AND (conv_id * 7 + turn) % 11 = 5 THEN 'system'
   WHEN (conv_id + turn) % 17 = 0 THEN 'tool' ELSE role END AS role, CASE WHEN (conv_id * 3 + turn) % 19 = 0 THEN ' ' WHEN role = 'assistant' AND conv_id % 5 = 2 THEN 'This short answer has just enough words to pass.' ELSE text || chr(9) END AS text
-  FROM conversations WHERE (conv_id + turn) % 5 <> 3)"""
-PLAIN = "(SELECT * FROM conversations WHERE (conv_id + turn) % 5 <> 3)"
+  FROM {SWAPPED})"""
+PLAIN = SWAPPED
+
+
+def swapped(spark, d):
+    role = F.col("role")
+    turned = F.when(((F.col("conv_id") + F.col("turn")) % 5 == 3) & role.isin("user", "assistant"), F.when(role == "user", "assistant").otherwise("user")).otherwise(role)
+    return table(spark, d, "conversations").withColumn("role", turned)
 
 
 def turns(spark, d):
     c, t, role = F.col("conv_id"), F.col("turn"), F.col("role")
     renamed = F.when((role == "user") & (c % 3 == 0), " Human ").when((role == "assistant") & (c % 4 == 0), "GPT").when((role == "user") & ((c * 7 + t) % 11 == 5), "system").when((c + t) % 17 == 0, "tool").otherwise(role)
     text = F.when((c * 3 + t) % 19 == 0, " ").when((role == "assistant") & (c % 5 == 2), "This short answer has just enough words to pass.").otherwise(F.concat("text", F.lit("\t")))
-    own = table(spark, d, "conversations").where((c + t) % 5 != 3)
-    return own.select("conv_id", "turn", renamed.alias("role"), text.alias("text"))
+    return swapped(spark, d).select("conv_id", "turn", renamed.alias("role"), text.alias("text"))
 
 
 def normal_sql(base: str, most: int) -> str:
@@ -109,8 +115,7 @@ kept_rows AS (SELECT * FROM r WHERE substr(labels, 1, 64) = repeat('--', 32))"""
 
 @query(f"WITH {rows_sql(1024, 256)} SELECT conv_id, supervised, length(ids) // 2 AS live, md5(ids || repeat('$$', 1024 - length(ids) // 2)) AS ids, md5(labels || repeat('--', 1024 - length(labels) // 2)) AS labels FROM kept_rows")
 def chat_rows(spark, d):
-    c, t = F.col("conv_id"), F.col("turn")
-    own = chat.normalise(chat.conversations(table(spark, d, "conversations").where((c + t) % 5 != 3)), most=8, version="v4")
+    own = chat.normalise(chat.conversations(swapped(spark, d)), most=8, version="v4")
     out = chat.supervised_rows(own, 1024, 256)
     live = F.size(F.filter("attention_mask", lambda x: x == 1)).cast("long")
     return out.select("conv_id", "supervised", live.alias("live"), F.md5(shown(F.col("input_ids"))).alias("ids"), F.md5(shown(F.col("labels"))).alias("labels"))
@@ -120,8 +125,7 @@ def chat_rows(spark, d):
 SELECT count(*) AS samples, 0::BIGINT AS empty, quantile_cont(first, 0.5)::INT AS first_p50, floor(quantile_cont(first, 0.9))::INT AS first_p90, floor(quantile_cont(first, 0.99))::INT AS first_p99,
   round(quantile_cont(n / 2048.0::DOUBLE, 0.5), 9) AS share_p50, round(quantile_cont(n / 2048.0::DOUBLE, 0.9), 9) AS share_p90, floor(quantile_cont(n, 0.5))::INT AS count_p50, floor(quantile_cont(n, 0.9))::INT AS count_p90 FROM n""".replace("quantile_cont(first, 0.5)::INT", "floor(quantile_cont(first, 0.5))::INT"))
 def chat_label_stats(spark, d):
-    c, t = F.col("conv_id"), F.col("turn")
-    own = chat.normalise(chat.conversations(table(spark, d, "conversations").where((c + t) % 5 != 3)), most=8, version="v4")
+    own = chat.normalise(chat.conversations(swapped(spark, d)), most=8, version="v4")
     out = chat.label_stats(chat.supervised_rows(own, 2048, 256))
     return out.withColumn("share_p50", F.round("share_p50", 9)).withColumn("share_p90", F.round("share_p90", 9))
 

@@ -83,7 +83,7 @@ def verify_shards(spark, d):
 def preflight(spark, d):
     own = ready(spark, d).groupBy("source", "t").agg(F.count_distinct(T.shard_bucket(F.col("source"), F.col("t"), SALT, SHARDS)).alias("k"))
     checks = [
-        ("documents", not table(spark, d, "documents").isEmpty(), ""), ("disjoint", own.agg(F.max("k")).first()[0] <= 1, "equal rows share a shard"), ("benchmark", table(spark, d, "benchmark").count() >= 8, ""),
+        ("documents", not table(spark, d, "documents").isEmpty(), ""), ("disjoint", (own.agg(F.max("k")).first()[0] or 0) <= 1, "equal rows share a shard"), ("benchmark", table(spark, d, "benchmark").count() >= 8, ""),
     ]
     return audit.preflight(spark, checks).select("pos", "check", "passed")
 
@@ -234,8 +234,9 @@ def lr_sweep(spark, d):
 SELECT source, round(quantile_cont(length(text), 0.9), 6) AS linear, any_value(s[round_even((n - 1) * 0.9, 0)::INT + 1]) AS nearest, round(any_value((s[j] * (10 - ((n + 1) * 9 - j * 10)) + s[j + 1] * ((n + 1) * 9 - j * 10)) / 10.0::DOUBLE), 6) AS exclusive,
   floor(median(length(text)))::BIGINT AS p50 FROM e JOIN documents USING (source) GROUP BY source""")
 def quantiles(spark, d):
-    n = F.length("text")
-    own = table(spark, d, "documents").groupBy("source").agg(M.quantile_linear(n, 0.9).alias("linear"), M.quantile_nearest(n, 0.9).alias("nearest"), M.quantile_exclusive(n, 10, 9).alias("exclusive"), F.floor(F.percentile(n, 0.5)).alias("p50"))
+    own = table(spark, d, "documents").select("source", F.length("text").alias("n"))
+    own = M.quantiles(own, ["source"], "n", {"linear": M.linear(0.9), "nearest": M.nearest(0.9), "exclusive": M.exclusive(10, 9), "p50": M.linear(0.5)})
+    own = own.withColumn("nearest", F.col("nearest").cast("int")).withColumn("p50", F.floor("p50"))
     return own.select("source", F.round("linear", 6).alias("linear"), "nearest", F.round("exclusive", 6).alias("exclusive"), "p50")
 
 

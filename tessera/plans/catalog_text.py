@@ -29,10 +29,14 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{d}/{name}.parquet")) if name in ("documents", "pages", "conversations") else spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: A table of at most so many bytes is dealt to all cores if its files split into fewer parts.
+SMALL = 128 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt to all cores where its files split into fewer parts than there are cores: one small file would be one task."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    """df, dealt to all cores if it is small (SMALL) and its files split into fewer parts than there are cores: one small file would be one task."""
+    cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    return df.repartition(cores) if int(str(plan.optimizedPlan().stats().sizeInBytes())) <= SMALL and plan.toRdd().getNumPartitions() < cores else df
 
 
 def ready(spark: SparkSession, d: str) -> DataFrame:

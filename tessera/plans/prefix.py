@@ -1,7 +1,8 @@
 """Running sums and ranks over a whole table without a window that gathers all rows in one task.
 
-Rows are grouped in ranges of the order value; a window over the (few) range totals gives each range its base, and a window
-inside each range does the rest. The result depends on the order value alone, not on how rows lie in partitions.
+Rows are dealt to ranges of their order by Spark's own range partitioning (by sampled quantiles, so dense stretches and ties spread) and written once with the
+number of their range; a window over the (few) range totals gives each range its base, and a window inside each range does the rest. The input is
+read once. The result depends on the order alone, not on how rows lie in partitions. Nulls of the order come first.
 """
 
 from __future__ import annotations
@@ -9,31 +10,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.lineage import cut
 
-def running_sum(df: DataFrame, keys: list[str], order: str, value: Column | str, name: str, span: float = 4096, inclusive: bool = False) -> DataFrame:
+
+def _ranged(df: DataFrame, order: list[str], parts: int | None) -> DataFrame:
+    """df, written, with __range: numbers that ascend with the order."""
+    n = parts or max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return cut(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+
+
+def _same(keys: list[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    return out
+
+
+def running_sum(df: DataFrame, keys: list[str], order: str, value: Column | str, name: str, inclusive: bool = False, parts: int | None = None) -> DataFrame:
     """df with name: the sum of value over the rows of the same keys before this one (or up to it).
 
-    order: a number that is unique within keys; span: width of a range of it.
+    order: unique within keys; parts: number of ranges.
     """
     value = F.col(value) if isinstance(value, str) else value
-    ranged = df.withColumn("__range", F.floor(F.col(order) / span).cast("long")).withColumn("__value", value)
+    ranged = _ranged(df.withColumn("__value", value), [*keys, order], parts)
     totals = ranged.groupBy(*keys, "__range").agg(F.sum("__value").alias("__total"))
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.withColumn("__base", F.coalesce(F.sum("__total").over(before), F.lit(0))).drop("__total")
     inner = Window.partitionBy(*keys, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     out = ranged.withColumn("__inner", F.coalesce(F.sum("__value").over(inner), F.lit(0)))
-    joined = out.alias("l").join(base.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "__range"]])
+    joined = out.alias("l").join(base.alias("r"), _same([*keys, "__range"]))
     return joined.select(*(f"l.{c}" for c in df.columns), (F.col("__base") + F.col("__inner")).alias(name))
 
 
-def global_rank(df: DataFrame, order: str, ties: list[str], name: str, per_range: int = 4096) -> DataFrame:
-    """df with name: the row's place (from 0) in the order of a double and the columns that break ties."""
-    low, high, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
-    if not n:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    width = float(high - low) / max(1, n // per_range) or 1.0
-    ranged = df.withColumn("__range", F.floor((F.col(order) - F.lit(low)) / F.lit(width)).cast("long"))
+def global_rank(df: DataFrame, order: str, ties: list[str], name: str, parts: int | None = None) -> DataFrame:
+    """df with name: the row's place (from 0) in the order of a column and the columns that break ties."""
+    ranged = _ranged(df, [order, *ties], parts)
     totals = ranged.groupBy("__range").agg(F.count("*").alias("__total"))
     base = totals.withColumn("__base", F.coalesce(F.sum("__total").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__total")
     inner = F.row_number().over(Window.partitionBy("__range").orderBy(order, *ties)) - 1
-    return ranged.withColumn("__inner", inner).join(base, "__range").select(*df.columns, (F.col("__base") + F.col("__inner")).cast("long").alias(name))
+    return ranged.withColumn("__inner", inner).join(F.broadcast(base), "__range").select(*df.columns, (F.col("__base") + F.col("__inner")).cast("long").alias(name))  # a row for each range

@@ -32,7 +32,8 @@ def write_shards(blocks: DataFrame, root: str, partition: str, expected: int, bl
     spark = blocks.sparkSession
     if _exists(spark, f"{root}/manifest"):
         raise ValueError(f"{root} is complete already")
-    blocks.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("shard_id").parquet(f"{root}/blocks")
+    # ranges of blocks: a task writes few shards, and a shard's files are as many as its ranges
+    blocks.repartitionByRange("shard_id", "block_id").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("shard_id").parquet(f"{root}/blocks")
     written = spark.read.parquet(f"{root}/blocks")
     n = written.groupBy(F.col("shard_id").cast("int").alias("shard_id")).agg(F.count("*").alias("blocks"))
     manifest = n.select("shard_id", "blocks", (F.col("blocks") * block_size).alias("tokens"), F.lit(partition).alias("partition"), (F.col("blocks") >= expected).alias("complete"))

@@ -64,13 +64,13 @@ def test_packing_conserves_tokens_for_any_partitioning(spark):
 def test_prefix_and_rank(spark):
     df = spark.createDataFrame([(k, i, float(i * k % 7)) for k in range(3) for i in range(50)], "k int, i long, v double")
     for span in (1, 8, 1000):
-        got = {(r.k, r.i): r.s for r in running_sum(df, ["k"], "i", "v", "s", span=span).collect()}
+        got = {(r.k, r.i): r.s for r in running_sum(df, ["k"], "i", "v", "s", parts=span).collect()}
         for k in range(3):
             total = 0.0
             for i in range(50):
                 assert got[k, i] == total
                 total += i * k % 7
-    ranks = {(r.k, r.i): r.n for r in global_rank(df, "v", ["k", "i"], "n", per_range=4).collect()}
+    ranks = {(r.k, r.i): r.n for r in global_rank(df, "v", ["k", "i"], "n", parts=4).collect()}
     assert [key for key, _ in sorted(ranks.items(), key=lambda x: x[1])] == sorted(ranks, key=lambda x: (float(x[1] * x[0] % 7), x))
     assert running_sum(df.where("false"), ["k"], "i", "v", "s").count() == 0 and global_rank(df.where("false"), "v", [], "n").count() == 0
 
@@ -182,3 +182,48 @@ def test_tokenizer_file(spark):
     got = tokens.file_ids(spark.createDataFrame([(1, " hello world "), (2, " ")], "i int, text string"), path, bos=1, eos=2).collect()
     assert [(r.i, r.ids[0], r.ids[-1]) for r in got] == [(1, 1, 2)]
     assert all(ok for _, ok, _ in tokens.validate(path, {"<|endoftext|>": 50256}, ["a b", "é中", "\n\n x"]))
+
+
+def test_rank_with_nulls_and_ties(spark):
+    df = spark.createDataFrame([(1, None), (2, 5.0), (3, None), (4, 1.0), (5, 5.0)], "i long, v double")
+    for parts in (1, 3, 20):
+        got = {r.i: r.n for r in global_rank(df, "v", ["i"], "n", parts=parts).collect()}
+        assert got == {1: 0, 3: 1, 4: 2, 2: 3, 5: 4}
+    none = spark.createDataFrame([(1, None), (2, None)], "i long, v double")
+    assert sorted((r.i, r.n) for r in global_rank(none, "v", ["i"], "n").collect()) == [(1, 0), (2, 1)]
+
+
+def test_ema_and_quantiles_against_plain_loops(spark):
+    import random
+    import statistics
+
+    from tessera.operators import metrics as M
+
+    r = random.Random(4)
+    rows = [(k, i, None if r.random() < 0.05 else r.random()) for k in ("a", "b", None) for i in range(700)] + [("c", 3, None), ("d", 1, 2.0)]
+    df = spark.createDataFrame(rows, "run string, step long, loss double").repartition(5)
+    want, last = {}, {}
+    for k, i, x in sorted(rows, key=lambda z: (str(z[0]), z[1])):
+        s = None if x is None else x if last.get(k) is None else 0.7 * last[k] + 0.3 * x
+        want[k, i], last[k] = s, s
+    got = {(g.run, g.step): g.smoothed for g in M.ema(df).collect()}
+    assert got.keys() == want.keys()
+    assert all((a is None) == (want[k] is None) and (a is None or abs(a - want[k]) < 1e-9) for k, a in got.items())
+    small = spark.createDataFrame([("r", i, 0.5 if i else 0.0, float(i)) for i in range(40)], "run string, i long, a double, b double")
+    deep, s = {g.i: g.s for g in M.affine_scan(small, "run", block=3).collect()}, 0.0
+    for i in range(40):
+        s = (0.5 if i else 0.0) * s + i
+        assert abs(deep[i] - s) < 1e-9
+    values = [("x", v) for v in (5, 1, 4, 4, 2, 9, 7)] + [("y", 3), ("z", None)]
+    q = {g.k: g for g in M.quantiles(spark.createDataFrame(values, "k string, v int"), ["k"], "v", {"l": M.linear(0.9), "n": M.nearest(0.5), "e": M.exclusive(4, 1)}).collect()}
+    x = sorted(v for k, v in values if k == "x")
+    assert set(q) == {"x", "y"} and q["y"].e is None and q["y"].l == q["y"].n == 3
+    assert q["x"].n == 4 and abs(q["x"].e - statistics.quantiles(x, n=4)[0]) < 1e-9 and abs(q["x"].l - (7 * 0.6 + 9 * 0.4)) < 1e-9
+
+
+def test_preflight_of_an_empty_table(spark, tmp_path):
+    from tessera.plans import catalog_metrics as C
+
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert [x.passed for x in C.preflight(spark, str(tmp_path)).orderBy("pos").collect()] == [False, True, False]
