@@ -297,3 +297,66 @@ def tumbling_events(spark, d):
     own = table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     start = F.col("w.start")
     return own.select((start.cast("timestamp_ntz") if dict(table(spark, d, "events").dtypes)["ts"] == "timestamp_ntz" else start).alias("start"), "event_type", "n", "total")
+
+
+# --- records and files of runs -------------------------------------------------------------------------------------------------
+
+NAMES = """(SELECT DISTINCT CASE event_id % 4 WHEN 0 THEN 'checkpoint-' || (event_id % 500) WHEN 1 THEN 'checkpoint-' || (event_id % 40) || 'B-tokens' WHEN 2 THEN 'other-' || (event_id % 30) ELSE 'final' END AS name FROM events)"""
+
+
+def names(spark, d):
+    e = F.col("event_id")
+    name = F.when(e % 4 == 0, F.concat(F.lit("checkpoint-"), e % 500)).when(e % 4 == 1, F.concat(F.lit("checkpoint-"), e % 40, F.lit("B-tokens"))).when(e % 4 == 2, F.concat(F.lit("other-"), e % 30)).otherwise("final")
+    return table(spark, d, "events").select(name.alias("name")).distinct()
+
+
+@query(f"""WITH n AS {NAMES}, l AS (SELECT name, length(name) / 10.0::DOUBLE AS eval_loss FROM n WHERE length(name) % 2 = 0), s AS (SELECT name, length(name)::BIGINT AS global_step, length(name) / 4.0::DOUBLE AS state_loss FROM n WHERE length(name) % 3 = 0)
+SELECT name, coalesce(eval_loss, state_loss) AS eval_loss, global_step, CASE WHEN regexp_full_match(name, 'checkpoint-[0-9]+(B-tokens)?') THEN 1 ELSE 2 END AS class FROM n LEFT JOIN l USING (name) LEFT JOIN s USING (name) WHERE contains(name, 'checkpoint')""")
+def checkpoint_filter(spark, d):
+    from tessera.sources import checkpoints
+
+    n = names(spark, d)
+    size = F.length("name")
+    loss = n.where(size % 2 == 0).select("name", (size / 10).alias("eval_loss"))
+    state = n.where(size % 3 == 0).select("name", size.cast("long").alias("global_step"), (size / 4).alias("eval_loss"))
+    return checkpoints(n, loss, state, contains="checkpoint").select("name", "eval_loss", "global_step", F.col("key.class").alias("class"))
+
+
+@query(f"""WITH {SERIES}, r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY coalesce(eval_loss, 'inf'::DOUBLE), step) AS a, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS b FROM series)
+SELECT run, step, a <= 2 OR b <= 1 OR step IN (5, 10, 20) AS keep FROM r""")
+def checkpoint_milestones(spark, d):
+    return M.retained(series(spark, d), best=2, last=1, milestones=[5, 10, 20]).select("run", "step", "keep")
+
+
+@query("SELECT event_id, value::FLOAT AS value FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, (value / 3)::FLOAT FROM events WHERE event_id % 2 = 1")
+def aligned_types(spark, d):
+    own = table(spark, d, "events")
+    even, odd = own.where("event_id % 2 = 0").select("event_id", "value"), own.where("event_id % 2 = 1").select("event_id", (F.col("value") / 3).alias("value"))
+    return even.select(T.narrow_doubles(even.dtypes)).unionByName(odd.select(T.narrow_doubles(odd.dtypes)))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 20 > 8 AND doc_id % 13 > 8")
+def long_rows(spark, d):
+    from tessera.operators import chat
+
+    filled = lambda n: F.array_repeat(F.lit(7), (F.col("doc_id") % n).cast("int"))
+    return table(spark, d, "documents").select("doc_id", filled(20).alias("input_ids"), filled(13).alias("labels")).where(chat.long_enough()).select("doc_id")
+
+
+@query("""WITH f AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN role WHEN turn % 3 = 1 THEN '' END AS role, CASE WHEN turn % 2 = 1 THEN role || '!' END AS speaker, role AS "from", CASE WHEN conv_id % 3 = 0 THEN text END AS content, CASE WHEN conv_id % 3 = 1 THEN text ELSE '' END AS "value", text || '.' AS text FROM conversations)
+SELECT conv_id, turn, coalesce(nullif(role, ''), nullif(speaker, ''), "from") AS role, coalesce(nullif(content, ''), nullif("value", ''), text) AS content FROM f""")
+def field_aliases(spark, d):
+    from tessera.operators import chat
+
+    t, c, role, text = F.col("turn"), F.col("conv_id"), F.col("role"), F.col("text")
+    roles = [F.when(t % 3 == 0, role).when(t % 3 == 1, F.lit("")), F.when(t % 2 == 1, F.concat(role, F.lit("!"))), role]
+    contents = [F.when(c % 3 == 0, text), F.when(c % 3 == 1, text).otherwise(""), F.concat(text, F.lit("."))]
+    return table(spark, d, "conversations").select("conv_id", "turn", chat.alias_fields(roles, contents).alias("m")).select("conv_id", "turn", "m.role", "m.content")
+
+
+@query("SELECT 'documents' AS name, 'text' AS column UNION ALL SELECT 'pages', 'url' UNION ALL SELECT 'nation', 'n_name'")
+def text_columns(spark, d):
+    from tessera.sources import text_column
+
+    keys = {"documents": "doc_id", "pages": "page_id", "nation": "n_nationkey"}
+    return spark.createDataFrame([(n, text_column(table(spark, d, n), k)) for n, k in keys.items()], "name string, column string")

@@ -29,6 +29,7 @@ class Source:
     holdout_salt: str = ""
     chatml_wrap_rate: float = 0.0
     long_text_chunk_chars: int = 200_000
+    timeout_seconds: int = 180
 
     def __post_init__(self):
         if not self.name and not self.path:
@@ -70,6 +71,7 @@ class BuildConfig:
         with open(path, encoding="utf-8") as f:
             cfg = json.load(f)
         common = {k: cfg[k] for k in ("partition", "holdout_rate", "holdout_salt", "chatml_wrap_rate", "long_text_chunk_chars") if k in cfg}
+        common |= {"timeout_seconds": int(cfg["source_timeout_seconds"])} if "source_timeout_seconds" in cfg else {}
         sources = []
         for i, s in enumerate(cfg.get("sources") or cfg.get("mix") or []):
             if not isinstance(s, dict):
@@ -100,6 +102,56 @@ def with_retries(f, tries: int = 8, first_wait: float = 2.0, sleep=time.sleep):
             sleep(first_wait * 2**n)
 
 
+def timed(f, seconds: float, label: str):
+    """f(), or a TimeoutError after so many seconds (its thread ends by itself)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(f).result(seconds)
+    except TimeoutError as e:
+        raise TimeoutError(f"{label} timed out after {seconds} s") from e
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+
+
+def opened(spark: SparkSession, source: Source, tries: int = 8, first_wait: float = 2.0, sleep=time.sleep) -> DataFrame:
+    """scan with the source's timeout, tried again after errors that may pass."""
+    return with_retries(lambda: timed(lambda: scan(spark, source), source.timeout_seconds, f"Opening {source.label}"), tries, first_wait, sleep)
+
+
+def mirrored(spark: SparkSession, root: str, name: str, config: str = "", split: str = "train") -> DataFrame:
+    """A dataset by name, configuration and split from a mirror of folders root/name/config/split (or root/name/split): parquet, else JSON lines."""
+    from tessera.sources.sinks import _exists
+
+    for path in dict.fromkeys((f"{root}/{name}/{config or 'default'}/{split}", f"{root}/{name}/{split}") if config else (f"{root}/{name}/{split}", f"{root}/{name}/default/{split}")):
+        for kind in ("parquet", "json"):
+            if _exists(spark, path):
+                try:
+                    return spark.read.format(kind).load(path)
+                except Exception:  # another format
+                    if kind == "json":
+                        raise
+    raise ValueError(f"no {name}[{config}] {split} under {root}")
+
+
+#: Names of text columns, in the order in which they are looked for.
+TEXT_COLUMNS = ("text", "content", "paragraph", "data")
+
+
+def text_column(df: DataFrame, order: str | None = None) -> str:
+    """The column of a known name, else the first whose value in the first row (of the order) is a text that is not blank."""
+    for c in TEXT_COLUMNS:
+        if c in df.columns:
+            return c
+    strings = [c for c, t in df.dtypes if t == "string"]
+    row = (df.orderBy(order) if order else df).select(*strings).first() if strings else None
+    for c in strings if row else ():
+        if (row[c] or "").strip():
+            return c
+    raise ValueError(f"no text column in {df.columns}")
+
+
 def scan(spark: SparkSession, source: Source) -> DataFrame:
     path = source.path[source.split] if isinstance(source.path, dict) else source.path
     return spark.read.json(path) if source.kind == "json" else spark.read.parquet(path)
