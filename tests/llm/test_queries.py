@@ -94,3 +94,78 @@ def test_pii_digest(spark, case):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(b[0] == k for b in base) for k in ("email", "ip", "card", "phone")]
         joined = ",".join(":".join(map(str, b)) for b in base)
         assert r.base_sha256 == sha256(joined.encode()).hexdigest() and r.spans == joined
+
+
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, h string, version int, rows int, gone string, i int, v int, c0 string, n_lines int, stays int"
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, rows repeated with one id, nulls, and extra columns of names that the operators use inside."""
+    path = str(tmp_path)
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    extra = ("h", 1, 2, "g", 3, 4, "c", 5, 6)
+    rows = [(1, "a line of words here\nand another line", "en", "s", 3, *extra), (1, "a line of words here\nand another line", "en", "s", 3, *extra), (1, "unlike text of the same id", "en", "s", 3, *extra), (None, None, None, None, None, *[None] * 9), (7, None, None, None, None, *extra), (8, "", "en", "s", 0, *extra)]
+    full = spark.createDataFrame(rows, EXTRA)
+    for docs in (full, full.limit(0)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, path)
+            got = out.collect()
+            if name != "bpe":
+                assert out.columns == docs.columns
+            if name in ("toxicity", "line_dedup", "decontamination", "bpe"):
+                assert len(got) == n, name
+            if name == "simhash" and n:
+                assert sorted(str(r.text) for r in got) == sorted(["None", "None", "a line of words here\nand another line", "unlike text of the same id"])
+
+
+def test_queries_on_empty_tables(spark, tmp_path):
+    path = str(tmp_path)
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int"), ("pages", "page_id long, url string, html string")):
+        spark.createDataFrame([], schema).write.parquet(f"{path}/{name}.parquet")
+    for name, q in queries.QUERIES.items():
+        assert q(spark, path).count() == 0, name
+    assert corpus_pipeline.run(spark, path).count() == 0
+
+
+def test_line_dedup_on_odd_rows(spark):
+    from tessera.llm import line_dedup
+
+    text = "A line of words that is long enough\nshort\n\nA line of words that is long enough"
+    rows = [(1, text, "x", 1), (1, text, "x", 2), (1, "a line of words that is long enough\nother", "x", 3), (2, None, "y", 4), (None, text, "z", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone string, n_lines int")
+    out = {r.n_lines: r.text for r in line_dedup.dedup(df, whole=True).collect()}
+    kept = {out[1], out[2], out[3]}
+    # equal rows keep the same lines; of the two texts of id 1 one holds the line, the other lost it
+    assert out[1] == out[2] and out[4] is None and out[5] == text
+    assert sum(t.lower().count("a line of words that is long enough") for t in kept) == 1
+    report = line_dedup.dedup(df, whole=True, report=True)
+    assert report.columns == ["doc_id", "text", "gone", "n_lines", "n_removed_lines"] and sorted(r.n_lines for r in report.collect()) == [0, 2, 4, 4, 4]
+
+
+def test_one_very_long_text_grows_memory_little(spark):
+    """Words, hashes and windows of 30 MB in one text, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+sys.path.insert(0, %r)
+import numpy as np, pyarrow as pa
+from tessera.llm import decontaminate as D
+words = ["w%%d" %% (i * 7919 %% 100003) for i in range(200_000)]
+text = " ".join(words * 22)[:30_000_000]
+col = pa.array([text], pa.string())
+index = D.Index([("1", " ".join(words[50:80])), ("2", "short item")], 10, 6)
+del words
+low = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = 0
+for lo, hi, part, s, e, first in D._texts(col):
+    begin, end, item = index.hits(index.byte.spans(part, s, e), np.repeat(np.arange(hi - lo), np.diff(first)), first)
+    n += len(begin)
+assert n > 0
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - low) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code % entry.__file__.rsplit("/", 1)[0]], capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 900, out.stdout
