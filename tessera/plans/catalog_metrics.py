@@ -301,21 +301,21 @@ def tumbling_events(spark, d):
 
 # --- records and files of runs -------------------------------------------------------------------------------------------------
 
-NAMES = """(SELECT DISTINCT CASE event_id % 4 WHEN 0 THEN 'checkpoint-' || (event_id % 500) WHEN 1 THEN 'checkpoint-' || (event_id % 40) || 'B-tokens' WHEN 2 THEN 'other-' || (event_id % 30) ELSE 'final' END AS name FROM events)"""
+CHECKPOINTS = """(SELECT DISTINCT CASE event_id % 4 WHEN 0 THEN 'checkpoint-' || (event_id % 500) WHEN 1 THEN 'checkpoint-' || (event_id % 40) || 'B-tokens' WHEN 2 THEN 'other-' || (event_id % 30) ELSE 'final' END AS name FROM events)"""
 
 
-def names(spark, d):
+def checkpoint_names(spark, d):
     e = F.col("event_id")
     name = F.when(e % 4 == 0, F.concat(F.lit("checkpoint-"), e % 500)).when(e % 4 == 1, F.concat(F.lit("checkpoint-"), e % 40, F.lit("B-tokens"))).when(e % 4 == 2, F.concat(F.lit("other-"), e % 30)).otherwise("final")
     return table(spark, d, "events").select(name.alias("name")).distinct()
 
 
-@query(f"""WITH n AS {NAMES}, l AS (SELECT name, length(name) / 10.0::DOUBLE AS eval_loss FROM n WHERE length(name) % 2 = 0), s AS (SELECT name, length(name)::BIGINT AS global_step, length(name) / 4.0::DOUBLE AS state_loss FROM n WHERE length(name) % 3 = 0)
+@query(f"""WITH n AS {CHECKPOINTS}, l AS (SELECT name, length(name) / 10.0::DOUBLE AS eval_loss FROM n WHERE length(name) % 2 = 0), s AS (SELECT name, length(name)::BIGINT AS global_step, length(name) / 4.0::DOUBLE AS state_loss FROM n WHERE length(name) % 3 = 0)
 SELECT name, coalesce(eval_loss, state_loss) AS eval_loss, global_step, CASE WHEN regexp_full_match(name, 'checkpoint-[0-9]+(B-tokens)?') THEN 1 ELSE 2 END AS class FROM n LEFT JOIN l USING (name) LEFT JOIN s USING (name) WHERE contains(name, 'checkpoint')""")
 def checkpoint_filter(spark, d):
     from tessera.sources import checkpoints
 
-    n = names(spark, d)
+    n = checkpoint_names(spark, d)
     size = F.length("name")
     loss = n.where(size % 2 == 0).select("name", (size / 10).alias("eval_loss"))
     state = n.where(size % 3 == 0).select("name", size.cast("long").alias("global_step"), (size / 4).alias("eval_loss"))
