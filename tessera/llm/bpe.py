@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import slices, string_buffers
+from tessera.llm.shared import lean, slices, string_buffers
 
 #: Fixed value: the public pre-tokenization pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -257,4 +257,4 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                 rows = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), rows, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return named.mapInArrow(run, f"doc_id {dict(named.dtypes)['doc_id']}, ids array<int>, decoded string")
+    return named.mapInArrow(lean(run), f"doc_id {dict(named.dtypes)['doc_id']}, ids array<int>, decoded string")

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import NOT_SPACE, Rolling, cover, mix, slices, string_buffers, word_spans
+from tessera.llm.shared import NOT_SPACE, Rolling, cover, lean, mix, slices, string_buffers, word_spans
 
 
 @dataclass(frozen=True)
@@ -116,4 +116,4 @@ def quality(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", tex
                 )
 
     kind = dict(named.dtypes)["doc_id"]
-    return named.mapInArrow(run, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, bad_chunks double, kept boolean")
+    return named.mapInArrow(lean(run), f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, bad_chunks double, kept boolean")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import LOWER, Rolling, class_table, cover, holds, slices, sliding_min, string_buffers, word_spans
+from tessera.llm.shared import LOWER, Rolling, class_table, cover, holds, lean, slices, sliding_min, string_buffers, word_spans
 
 WORD = class_table(bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 
@@ -196,11 +196,11 @@ def scan(docs: DataFrame, bench: DataFrame, span: int = 10, k: int = 6, block_by
     keyed = None
     for items, n in _blocks(bench, block_bytes, item_col, item_text_col):
         if n == 1:
-            return named.mapInArrow(one(items, False), out)
+            return named.mapInArrow(lean(one(items, False)), out)
         # several blocks: rows are numbered by content, so that each row's hits meet again
         if keyed is None:
             keyed = named.select(F.struct("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("l")).alias("doc_id"), "text")
-        passes.append(keyed.mapInArrow(one(items, True), f"doc_id struct<doc_id: {kind}, h: bigint, l: int>, n_words long, hit_words long, items array<string>, firsts array<int>, lasts array<int>"))
+        passes.append(keyed.mapInArrow(lean(one(items, True)), f"doc_id struct<doc_id: {kind}, h: bigint, l: int>, n_words long, hit_words long, items array<string>, firsts array<int>, lasts array<int>"))
     every = passes[0]
     for p in passes[1:]:
         every = every.union(p)
@@ -231,5 +231,5 @@ def clean(docs: DataFrame, bench: DataFrame, span: int = 10, k: int = 6, block_b
                     keep[lo + doc[begin]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return holds(docs, *used)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import lean
+
 #: Elements by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("head script style noscript template iframe svg math object canvas audio video map title datalist".split())
@@ -305,6 +307,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", o
             text = pa.array([main_text(h) for h in b.column(b.num_columns - 1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], text], [*b.schema.names[:-1], "text"])
 
-    out = named.mapInArrow(run, named.drop("html").schema.add("text", "string"))
+    out = named.mapInArrow(lean(run), named.drop("html").schema.add("text", "string"))
     order = [id_col, *(c for c in rest if c != id_col)]
     return out.select(*(F.col(f"c{rest.index(c)}").alias(c) for c in order), F.col("text").alias(out_col))

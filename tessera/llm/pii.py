@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import lean
 from tessera.llm.em import WeakLabels, apply, logistic
 
 KINDS = ("email", "ip", "card", "phone", "secret", "name")
@@ -196,7 +197,7 @@ def vote_counts(docs: DataFrame, text_col: str = "text") -> dict[str, dict[tuple
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pattern", "n"])
 
     out: dict = {}
-    for r in docs.select(F.col(text_col).alias("text")).mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect():
         kind, _, p = r.pattern.partition("|")
         out.setdefault(kind, {})[tuple(None if v == "-" else int(v) for v in p.split(","))] = r.n
     return out
@@ -222,4 +223,4 @@ def scan(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_c
 
     kind = dict(named.dtypes)["doc_id"]
     one = "array<struct<kind: string, start: int, end: int>>"
-    return named.mapInArrow(run, f"doc_id {kind}, base {one}, spans {one}")
+    return named.mapInArrow(lean(run), f"doc_id {kind}, base {one}, spans {one}")

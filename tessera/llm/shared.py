@@ -5,6 +5,7 @@ The numpy part works on the bytes of an Arrow string column directly, without ma
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -57,6 +58,25 @@ def drop_cut(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between stages, and their heaps would only grow."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run):
+    """run, for mapInArrow, that leaves the worker small when it ends."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets (length n + 1, from 0) of a string or binary column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

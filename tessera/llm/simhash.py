@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import near_docs
 from tessera.llm.components import connected
-from tessera.llm.shared import LOWER_BYTES, Forest, cut, hot_join, mix
+from tessera.llm.shared import LOWER_BYTES, Forest, cut, hot_join, lean, mix
 
 
 def fingerprint(text: bytes | None, k: int = 4, seed: int = 42) -> int:
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = [fingerprint(None if t is None else t.as_buffer().to_pybytes() if t.is_valid else None) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def _flips(bits: int, most: int) -> list[np.ndarray]:
@@ -134,7 +134,7 @@ def ball_links(fps: DataFrame, prefix: int = 16, room: int = 4_000_000, buckets:
         as_long = lambda z: pa.array(np.array(z, np.uint64).view(np.int64))
         return pa.table({"a": as_long(a), "b": as_long(b)})
 
-    return fps.select("fp").mapInArrow(send, "bucket long, load binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return fps.select("fp").mapInArrow(lean(send), "bucket long, load binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

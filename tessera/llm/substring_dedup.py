@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import NOT_SPACE, Rolling, cover, cut, hot_join, mix, slices, sliding_min, string_buffers, word_spans
+from tessera.llm.shared import NOT_SPACE, Rolling, cover, cut, hot_join, lean, mix, slices, sliding_min, string_buffers, word_spans
 
 CELL = 6
 
@@ -62,7 +62,7 @@ def window_runs(docs: DataFrame, span: int = 50, k: int = 16, id_col: str = "doc
                 )
 
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("version"))
-    return named.where("doc_id is not null and text is not null").mapInArrow(run, "anchor long, doc_id long, version long, start int, windows binary")
+    return named.where("doc_id is not null and text is not null").mapInArrow(lean(run), "anchor long, doc_id long, version long, start int, windows binary")
 
 
 def _covered(t: pa.Table, span: int) -> pa.RecordBatch | None:
@@ -122,7 +122,7 @@ def hot_repeats(runs: DataFrame, span: int) -> DataFrame:
             first = s + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(cells.view("<i8").ravel()), pa.array(d), pa.array(v), pa.array(first.astype(np.int32))], ["anchor", "window", "doc_id", "version", "first"])
 
-    rows = cut(runs.mapInArrow(windows, "anchor long, window long, doc_id long, version long, first int").withColumn("key", F.struct("anchor", "window")), "hot-windows")
+    rows = cut(runs.mapInArrow(lean(windows), "anchor long, window long, doc_id long, version long, first int").withColumn("key", F.struct("anchor", "window")), "hot-windows")
     least = cut(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")), "hot-least")
     found = hot_join(rows, least.where("most > least").select("key", "least", "n"), "key", "n", rows.count()).where("doc_id > least")
     return cut(found.select("doc_id", "version", "first", (F.col("first") + span).alias("last")), "hot-repeats", rows, least)
@@ -169,9 +169,9 @@ def repeats(docs: DataFrame, span: int = 50, k: int = 16, id_col: str = "doc_id"
                 yield out
 
     runs = window_runs(docs, span, k, id_col, text_col)
-    cold = runs.mapInArrow(pick(False), runs.schema) if len(many) else runs
-    out = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(extend, "doc_id long, version long, first int, last int")
-    return out.union(hot_repeats(runs.mapInArrow(pick(True), runs.schema), span)) if len(many) else out
+    cold = runs.mapInArrow(lean(pick(False)), runs.schema) if len(many) else runs
+    out = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lean(extend), "doc_id long, version long, first int, last int")
+    return out.union(hot_repeats(runs.mapInArrow(lean(pick(True)), runs.schema), span)) if len(many) else out
 
 
 def dedup(docs: DataFrame, span: int = 50, k: int = 16, id_col: str = "doc_id", text_col: str = "text", hot: int = 50_000) -> DataFrame:
@@ -193,5 +193,5 @@ def dedup(docs: DataFrame, span: int = 50, k: int = 16, id_col: str = "doc_id",
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return joined.select("doc_id", "text", "firsts", "lasts").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))
+    return joined.select("doc_id", "text", "firsts", "lasts").mapInArrow(lean(keep), "doc_id long, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))
 

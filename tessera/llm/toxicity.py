@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.em import apply, logistic
 from tessera.llm.grammar import CLASSES, Grammar
-from tessera.llm.shared import holds
+from tessera.llm.shared import holds, lean
 
 #: The grammar's word classes.
 INSULTS = frozenset("idiot idiots moron morons stupid scum loser losers pathetic worthless disgusting imbecile dumbass asshole bastard bitch trash clown".split())
@@ -205,7 +205,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             offs = pa.array(np.concatenate(([0], np.cumsum([sum(f[c] > 0 for c in CLASSES) for f in found]))).astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(apply(weights, x)), pa.MapArray.from_arrays(offs, names, numbers)], ["doc_id", "score", "clauses"])
 
-    return named.mapInArrow(run, f"doc_id {dict(named.dtypes)['doc_id']}, score double, clauses map<string, int>")
+    return named.mapInArrow(lean(run), f"doc_id {dict(named.dtypes)['doc_id']}, score double, clauses map<string, int>")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -220,4 +220,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col:
             x = np.array([features(matched(t or "", lexicon)) for t in b.column(place).to_pylist()]).reshape(b.num_rows, 2 * len(CLASSES))
             yield b.filter(pa.array(apply(weights, x) < threshold))
 
-    return holds(docs.mapInArrow(run, docs.schema), shared)
+    return holds(docs.mapInArrow(lean(run), docs.schema), shared)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import LOWER, NOT_SPACE, Rolling, cover, mix, slices, string_buffers, word_spans
+from tessera.llm.shared import LOWER, NOT_SPACE, Rolling, cover, lean, mix, slices, string_buffers, word_spans
 
 LABELLERS = ("repeats", "symbols", "shouting", "tables", "echoes", "letters", "sentences", "variety")
 #: Chance of voting (bad, good, abstaining) in bad and in good documents before the fit: what each rule is meant to be.
@@ -157,7 +157,7 @@ def pattern_counts(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray,
                 k, n = np.unique(key, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(n.astype(np.int64))], ["k", "n"])
 
-    rows = docs.select(text_col).mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()  # 3 ** labellers at most
+    rows = docs.select(text_col).mapInArrow(lean(run), "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()  # 3 ** labellers at most
     keys = np.array([r.k for r in rows], np.int64)
     return keys[:, None] // 3 ** np.arange(len(LABELLERS)) % 3, np.array([r.n for r in rows], float)
 
@@ -213,4 +213,4 @@ def scores(docs: DataFrame, sample_rows: int = 4_000, sample_bytes: int = 32_000
                 score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(model.posterior(x.votes(roll))), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "posterior", "score", "predicted"])
 
-    return named.mapInArrow(run, f"doc_id {dict(named.dtypes)['doc_id']}, posterior double, score double, predicted int")
+    return named.mapInArrow(lean(run), f"doc_id {dict(named.dtypes)['doc_id']}, posterior double, score double, predicted int")
