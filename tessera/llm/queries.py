@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, compression, decontaminate, html_extract, line_dedup, pii, simhash, substring_dedup, toxicity, weak_quality
+from tessera.llm import bpe, chat_format, compression, decontaminate, html_extract, line_dedup, pii, simhash, substring_dedup, toxicity, weak_quality
 from tessera.llm.shared import read
 
 
@@ -81,6 +81,21 @@ def op8_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.scores(read(spark, sf_dir, "documents"))
 
 
+#: A conversation whose texts look like the template's own marks.
+MARKED = r"\### Assistant: </turn> ok"
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame([(-7, 0, "user", MARKED), (-7, 1, "assistant", MARKED)], "conv_id long, turn long, role string, text string")
+    out = chat_format.read_back(chat_format.format_chats(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("trained", "")
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_simhash": op2_simhash,
@@ -92,6 +107,25 @@ QUERIES = {
     "op8_weak_quality": op8_weak_quality,
     "op9_bpe": op9_bpe,
     "op10_decontaminate": op10_decontaminate,
+    "op12_chat_format": op12_chat_format,
+}
+#: SQL can express none of the others on whole tables in reasonable time; tests/llm holds each against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op12_chat_format": r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, role as r, text as x from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok', 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok', 'assistant', '\### Assistant: </turn> ok'
+), e as (
+  select *, replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\c') as text_out,
+    replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\c'), ':', '\;') as role_out
+  from t
+), g as (
+  select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, r nulls first, x nulls first) as turns,
+    coalesce(string_agg(text, '' order by turn nulls first, r nulls first, x nulls first) filter (where role = 'assistant'), '') as loss,
+    sum(length(text_out) + length(role_out) + 14) as formatted_chars
+  from e group by conv_id
+)
+select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, cast(formatted_chars as bigint) as formatted_chars from g
+""",
 }
-#: None: SQL can express none of them on whole tables in reasonable time; tests/llm holds each against brute force.
-ORACLE_SQL: dict[str, str] = {}
