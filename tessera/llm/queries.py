@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat_format, compression, decontaminate, html_extract, line_dedup, pii, simhash, substring_dedup, toxicity, weak_quality
+from tessera.llm import bpe, chat_format, compression, decontaminate, html_extract, line_dedup, pii, quantiles, simhash, substring_dedup, toxicity, weak_quality
 from tessera.llm.shared import read
 
 
@@ -81,6 +81,28 @@ def op8_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.scores(read(spark, sf_dir, "documents"))
 
 
+def op11_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks without a client or value and lines without an item, brand or price are left out, as are values that are no numbers; a null id has the batch of an empty text. Lines are counted by item and batch before they are joined."""
+    c = F.col
+
+    def batch(id_col):
+        return F.pmod(F.crc32(F.coalesce(c(id_col).cast("string"), F.lit(""))), F.lit(16)).cast("int").alias("batch")
+
+    def x(money):
+        return (F.floor(100 * c(money) + 0.5) + 1000 * c("batch")).alias("x")
+
+    def sound(money):
+        return c(money).isNotNull() & ~F.isnan(money) & (F.abs(money) < float("inf"))
+
+    clicks = read(spark, sf_dir, "clicks").where(c("client_id").isNotNull() & sound("value"))
+    one = clicks.groupBy("click_id").agg(F.min(F.struct("client_id", "value")).alias("row")).select(c("row.client_id").cast("string").alias("grp"), batch("click_id"), c("row.value").alias("value"))
+    clicks = one.select(F.lit("value").alias("stream"), "grp", "batch", x("value"), F.lit(1).cast("long").alias("c"))
+    lines = read(spark, sf_dir, "sale_lines").where(c("item_id").isNotNull()).groupBy("item_id", batch("vendor_id")).agg(F.count("*").alias("c"))
+    items = read(spark, sf_dir, "items").where(c("brand").isNotNull() & sound("price")).select("item_id", "brand", "price")
+    priced = lines.join(items, "item_id").groupBy("brand", "batch", x("price")).agg(F.sum("c").alias("c"))
+    return quantiles.summarise(clicks.unionByName(priced.select(F.lit("price").alias("stream"), c("brand").alias("grp"), "batch", "x", "c")), ["stream", "grp"])
+
+
 #: A conversation whose texts look like the template's own marks.
 MARKED = r"\### Assistant: </turn> ok"
 
@@ -107,6 +129,7 @@ QUERIES = {
     "op8_weak_quality": op8_weak_quality,
     "op9_bpe": op9_bpe,
     "op10_decontaminate": op10_decontaminate,
+    "op11_quantiles": op11_quantiles,
     "op12_chat_format": op12_chat_format,
 }
 #: SQL can express none of the others on whole tables in reasonable time; tests/llm holds each against brute force.

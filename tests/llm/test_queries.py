@@ -10,6 +10,7 @@ COLUMNS = {
     "op1": ["page_id", "url", "text", "n_chars"], "op2": ["doc_id", "fingerprint", "component_id"], "op4": ["doc_id", "n_words", "n_removed", "kept_sha256"],
     "op5": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op6": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"], "op7": ["doc_id", "held_out", "score", "predicted"],
+    "op11": ["stream", "grp", "batch", "i", "n", "target", "exact_x", "points", "answer", "n_below", "n_upto", "rank_error", "within"],
     "op12": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
     "op9": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], "op10": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
 }
@@ -37,6 +38,9 @@ def tables(spark, path, seed=1):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([(1, "u", "<p>x y</p>"), (2, None, None)], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame([(i, 1, float(i)) for i in range(25)], "click_id long, client_id long, value double").write.parquet(f"{path}/clicks.parquet")
+    spark.createDataFrame([(1, "B", 2.5)], "item_id long, brand string, price double").write.parquet(f"{path}/items.parquet")
+    spark.createDataFrame([(1, 1, 1, 3)], "sale_id long, line_no int, item_id long, vendor_id long").write.parquet(f"{path}/sale_lines.parquet")
     spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
     return docs, items
 
@@ -53,7 +57,7 @@ def test_contract_columns(spark, case, name):
     op = name.split("_")[0]
     if op in COLUMNS:
         assert [c for c in out.columns if c in COLUMNS[op]] == COLUMNS[op]
-    assert out.count() == {"op1": 2, "op12": 2}.get(op, len(case[1]))
+    assert out.count() == {"op1": 2, "op11": 19, "op12": 2}.get(op, len(case[1]))
 
 
 def test_pipeline_against_its_stages_by_brute_force(spark, case):
@@ -124,7 +128,7 @@ def test_stages_on_odd_tables(spark, tmp_path):
 
 def test_queries_on_empty_tables(spark, tmp_path):
     path = str(tmp_path)
-    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int"), ("pages", "page_id long, url string, html string"), ("conversations", "conv_id long, turn long, role string, text string")):
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int"), ("pages", "page_id long, url string, html string"), ("conversations", "conv_id long, turn long, role string, text string"), ("clicks", "click_id long, client_id long, value double"), ("items", "item_id long, brand string, price double"), ("sale_lines", "sale_id long, line_no int, item_id long, vendor_id long")):
         spark.createDataFrame([], schema).write.parquet(f"{path}/{name}.parquet")
     for name, q in queries.QUERIES.items():
         assert q(spark, path).count() == (1 if name == "op12_chat_format" else 0), name  # the conversation -7 is always there
