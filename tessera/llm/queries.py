@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat_format, compression, decontaminate, html_extract, line_dedup, pii, quantiles, simhash, substring_dedup, toxicity, weak_quality
+from tessera.llm import bpe, chat_format, collocations, compression, decontaminate, html_extract, line_dedup, pii, quantiles, simhash, substring_dedup, toxicity, weak_quality
 from tessera.llm.shared import read
 
 
@@ -118,6 +118,10 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_simhash": op2_simhash,
@@ -131,6 +135,7 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
     "op11_quantiles": op11_quantiles,
     "op12_chat_format": op12_chat_format,
+    "op13_collocations": op13_collocations,
 }
 #: SQL can express none of the others on whole tables in reasonable time; tests/llm holds each against brute force.
 ORACLE_SQL: dict[str, str] = {
@@ -150,5 +155,29 @@ with t as (
   from e group by conv_id
 )
 select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, cast(formatted_chars as bigint) as formatted_chars from g
+""",
+    "op13_collocations": r"""
+with d as (select row_number() over () as id, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+p as (select lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) as piece from d),
+w as (select lang, list_filter(string_split_regex(piece, '[ \t]+'), x -> x <> '') as w from p),
+g as (select lang, w, unnest([1, 2, 3, 4, 5]) as k from w where len(w) > 0),
+h as (select lang, k, w, unnest(range(1, len(w) - k + 2)) as i from g where len(w) >= k),
+c as (select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase, count(*) as f from h group by all),
+n as (select lang, sum(f)::hugeint as n from c where k = 1 group by lang),
+q as (select lang, k, phrase, string_split(phrase, ' ') as w, f as a from c where k >= 2 and f >= 100),
+u as (select lang, k, phrase, w, a, unnest(range(1, k)) as cut from q),
+s as (
+  select u.lang, u.phrase, u.k, u.a, n.n, l.f as l, r.f as r, (1000::hugeint * u.a * n.n) // (l.f::hugeint * r.f) as score,
+    row_number() over (partition by u.lang, u.phrase order by (1000::hugeint * u.a * n.n) // (l.f::hugeint * r.f), cut) as best
+  from u join c l on l.lang = u.lang and l.phrase = array_to_string(u.w[1 : cut], ' ')
+    join c r on r.lang = u.lang and r.phrase = array_to_string(u.w[cut + 1 : u.k], ' ') join n on n.lang = u.lang
+),
+x as (
+  select distinct s.lang, s.phrase from s join q on q.lang = s.lang and q.k > s.k and 100 * q.a >= 100 * s.a and contains(' ' || q.phrase || ' ', ' ' || s.phrase || ' ') where best = 1
+),
+t as (
+  select s.*, row_number() over (partition by s.lang order by score desc, a desc, s.phrase) as rank from s anti join x on x.lang = s.lang and x.phrase = s.phrase where best = 1
+)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from t where rank <= 2000
 """,
 }

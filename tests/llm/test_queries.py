@@ -11,6 +11,7 @@ COLUMNS = {
     "op5": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op6": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"], "op7": ["doc_id", "held_out", "score", "predicted"],
     "op11": ["stream", "grp", "batch", "i", "n", "target", "exact_x", "points", "answer", "n_below", "n_upto", "rank_error", "within"],
+    "op13": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
     "op12": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
     "op9": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], "op10": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
 }
@@ -57,7 +58,7 @@ def test_contract_columns(spark, case, name):
     op = name.split("_")[0]
     if op in COLUMNS:
         assert [c for c in out.columns if c in COLUMNS[op]] == COLUMNS[op]
-    assert out.count() == {"op1": 2, "op11": 19, "op12": 2}.get(op, len(case[1]))
+    assert out.count() == {"op1": 2, "op11": 19, "op12": 2, "op13": 0}.get(op, len(case[1]))
 
 
 def test_pipeline_against_its_stages_by_brute_force(spark, case):
