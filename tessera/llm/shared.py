@@ -12,7 +12,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 M64 = (1 << 64) - 1
@@ -259,6 +259,24 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int
     return left.join(few, key).unionByName(left.join(few.select(key), key, "left_anti").join(right, key))
 
 
+def excerpt(text: Column, most_bytes: int, pieces: int = 64) -> Column:
+    """text, or of one of more bytes so many pieces at even places of the whole, joined by spaces: for samples that must be bounded."""
+    step = max(most_bytes // pieces // 4, 1)
+    part = lambda i: F.substring(text, F.floor(i * (F.length(text) - step) / (pieces - 1)).cast("int") + 1, F.lit(step))
+    return F.when(text.isNull() | (F.octet_length(text) <= most_bytes), text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), part), " "))
+
+
+def fitting(sizes: list[tuple], most: int, each: int) -> list:
+    """Keys of (key, bytes) in their order whose excerpts of `each` bytes at most stay within `most` together; what does not fit is left out singly, and the first always fits."""
+    out, total = [], 0
+    for key, size in sizes:
+        size = min(size or 0, each)
+        if total + size <= most:
+            total += size
+            out.append(key)
+    return out
+
+
 class Forest:
     """Union-find over arbitrary hashable nodes, for one bounded bucket."""
 

@@ -22,12 +22,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.em import apply, logistic
 from tessera.llm.grammar import CLASSES, Grammar
-from tessera.llm.shared import holds, lean
+from tessera.llm.shared import excerpt, fitting, holds, lean
 
 #: The grammar's word classes.
 INSULTS = frozenset("idiot idiots moron morons stupid scum loser losers pathetic worthless disgusting imbecile dumbass asshole bastard bitch trash clown".split())
@@ -179,14 +179,21 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, sample_bytes: int = 48_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Model of labelled rows that are not held out: at most sample_rows, chosen by a hash of the id, and of these the first of sample_bytes of text together."""
+    """Model of labelled rows that are not held out: at most sample_rows, in the order of a hash of the id, as far as they fit into sample_bytes together.
+
+    They are chosen by their sizes before a text is fetched. Of a text of over an eighth of sample_bytes excerpts from all over it stand in, so that no text keeps the others out.
+    """
+    each = max(sample_bytes // 8, 1)
     named = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label is not null")
     chosen = named.where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")  # sample_rows rows at most
-    one = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
-    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over sample_rows rows at most
-    few = one.withColumn("bytes", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(before)).where(F.col("bytes") <= sample_bytes)
-    return Model([(r.text, r.label) for r in sorted(few.select("doc_id", "text", "label").collect(), key=lambda r: r.doc_id)])
+    sizes = texts.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("bytes"), F.max("label").alias("label"), F.xxhash64("doc_id").alias("h")).collect()  # sample_rows numbers
+    label = {r.doc_id: r.label for r in sizes}
+    kept = fitting([(r.doc_id, r.bytes) for r in sorted(sizes, key=lambda r: (r.h, r.doc_id))], sample_bytes, each)
+    few = docs.sparkSession.createDataFrame([(i,) for i in kept], f"doc_id {dict(named.dtypes)['doc_id']}")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(few), "doc_id")  # sample_rows ids at most
+    own = own.groupBy("doc_id").agg(F.min(excerpt(F.col("text"), each)).alias("text"))
+    return Model([(r.text, label[r.doc_id]) for r in sorted(own.collect(), key=lambda r: r.doc_id)])
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

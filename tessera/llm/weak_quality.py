@@ -2,7 +2,7 @@
 
 Labellers vote good, bad or abstain on each document; abstaining is an outcome of its own, with a rate for each class. The counts
 of vote patterns over the whole corpus are a bounded summary on which expectation-maximisation estimates the labellers' rates;
-the posteriors of a bounded sample (about `sample_rows` texts, by a hash, of `sample_bytes` together) train a hashed linear scorer on word shapes, repeats and
+the posteriors of a bounded sample (about `sample_rows` texts, by a hash, of `sample_bytes` together; excerpts of very long ones) train a hashed linear scorer on word shapes, repeats and
 words, which scores whole texts.
 
 Defined results: a null or wordless text has all labellers abstain and scores by the bias alone; a null id stays null; repeated rows each
@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import LOWER, NOT_SPACE, Rolling, cover, lean, mix, slices, string_buffers, word_spans
+from tessera.llm.shared import LOWER, NOT_SPACE, Rolling, cover, excerpt, fitting, lean, mix, slices, string_buffers, word_spans
 
 LABELLERS = ("repeats", "symbols", "shouting", "tables", "echoes", "letters", "sentences", "variety")
 #: Chance of voting (bad, good, abstaining) in bad and in good documents before the fit: what each rule is meant to be.
@@ -197,9 +197,12 @@ def scores(docs: DataFrame, sample_rows: int = 4_000, sample_bytes: int = 32_000
     labels = Outcomes().fit(patterns, counts)
     share = min(1.0, sample_rows / max(1.0, counts.sum()))
     place = F.pmod(F.xxhash64(F.col(text_col), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    sample = docs.select(F.col(text_col).alias("text")).where(F.col(text_col).isNotNull() & (place < share)).distinct()
-    before = Window.orderBy(F.xxhash64("text"), "text").rowsBetween(Window.unboundedPreceding, 0)  # over about sample_rows rows
-    sample = sample.withColumn("bytes", F.sum(F.octet_length("text")).over(before)).where(F.col("bytes") <= sample_bytes)
+    each, h = max(sample_bytes // 8, 1), F.xxhash64(F.col(text_col)).alias("h")
+    drawn = docs.where(F.col(text_col).isNotNull() & (place < share))
+    sizes = drawn.groupBy(h).agg(F.max(F.octet_length(text_col)).alias("bytes")).collect()  # about sample_rows numbers
+    kept = fitting(sorted((r.h, r.bytes) for r in sizes), sample_bytes, each)
+    few = docs.sparkSession.createDataFrame([(i,) for i in kept], "h long")
+    sample = drawn.select(h, excerpt(F.col(text_col), each).alias("text")).join(F.broadcast(few), "h").select("text").distinct()  # as many hashes
     weights = train_scorer(sorted(r.text for r in sample.collect()), labels)
     shared = docs.sparkSession.sparkContext.broadcast((labels.prior, labels.rate, weights))
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

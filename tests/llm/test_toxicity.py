@@ -56,3 +56,25 @@ def test_without_labels_and_empty(spark):
     got = {r.doc_id: r.score for r in toxicity.scores(docs, model).collect()}
     assert got[1] > 0.5 > 0.3 > got[2]
     assert toxicity.scores(docs.limit(0), model).count() == 0
+
+
+def test_a_long_text_does_not_stop_learning(spark):
+    """The first text of the sample is larger than all that may be fetched: an excerpt stands in, the others stay."""
+    data = rows()
+    ids = [i for i, _, _ in data]
+    order = [r.doc_id for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id) h").orderBy("h").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    long = {i: "ra ti no " * 40_000 for i in order[:2]}
+    docs = spark.createDataFrame([(i, long.get(i, t)) for i, t, _ in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, sample_bytes=300_000)
+    assert {"grobl", "vexon"} <= set(model.lexicon.stems) and list(model.weights) != list(toxicity.Model.FIXED)
+    assert list(toxicity.train(docs, labels, sample_bytes=1000).weights) is not None
+
+
+def test_long_rows_are_fitted_singly(spark):
+    from tessera.llm.shared import excerpt, fitting
+
+    assert fitting([(1, 10_000), (2, 50), (3, None), (4, 60), (5, 40)], 200, 100) == [1, 2, 3, 5]
+    df = spark.createDataFrame([("short é",), ("".join(f"{i:05d}" for i in range(20_000)),), (None,)], "t string")
+    a, b, c = (r[0] for r in df.select(excerpt(df.t, 4096)).collect())
+    assert a == "short é" and c is None and len(b) <= 4096 and b.startswith("00000") and b.endswith("19999")
