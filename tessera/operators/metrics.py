@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.lineage import cut
+
 
 def _by(run: str, step: str) -> Window:
     return Window.partitionBy(run).orderBy(step)
@@ -25,9 +27,9 @@ def affine_scan(df: DataFrame, run: str, block: int = 256) -> DataFrame:
         return F.concat(done, F.array(F.struct(x["i"].alias("i"), a.alias("a"), b.alias("b"))))
 
     zero = F.array().cast("array<struct<i:bigint,a:double,b:double>>")
-    own = rows.select(run, "k", F.aggregate("rows", zero, fold).alias("p"))
+    own = cut(rows.select(run, "k", F.aggregate("rows", zero, fold).alias("p")), "blocks")
     last = F.element_at("p", -1)
-    if df.agg(F.max("i")).first()[0] is None or own.agg(F.max("k")).first()[0] == 0:
+    if not own.agg(F.max("k")).first()[0]:
         return own.select(run, F.explode("p").alias("x")).select(run, "x.i", F.col("x.b").alias("s"))
     ends = affine_scan(own.select(run, F.col("k").alias("i"), last["a"].alias("a"), last["b"].alias("b")), run, block)
     carry = ends.select(F.col(run).alias("__run"), (F.col("i") + 1).alias("__k"), F.col("s").alias("__carry"))
@@ -41,6 +43,7 @@ def ema(df: DataFrame, run: str = "run", step: str = "step", value: str = "loss"
     x, before = F.col(value).cast("double"), F.lag(value).over(w)
     fresh = before.isNull() | F.col(value).isNull()
     own = df.select(run, step, value).withColumn("i", (F.row_number().over(w) - 1).cast("long")).withColumn("a", F.when(fresh, 0.0).otherwise(F.lit(keep))).withColumn("b", F.when(fresh, x).otherwise(F.lit(1 - keep) * x))
+    own = cut(own, "series")
     done = affine_scan(own.select(run, "i", "a", "b"), run).select(F.col(run).alias("__run"), F.col("i").alias("__i"), F.col("s").alias("smoothed"))
     return own.join(done, F.col(run).eqNullSafe(F.col("__run")) & (F.col("i") == F.col("__i"))).select(run, step, value, "smoothed")
 

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import hash_ratio
-from tessera.plans.prefix import global_rank, running_sum
+from tessera.plans.lineage import holds
+from tessera.plans.prefix import global_rank, offsets
 
 
 def with_gaps(df: DataFrame, weights: dict[str, float], seed: int, source: str = "source", pos: str = "pos") -> DataFrame:
@@ -21,9 +22,13 @@ def with_gaps(df: DataFrame, weights: dict[str, float], seed: int, source: str =
 
 
 def mix(df: DataFrame, weights: dict[str, float], seed: int = 0, source: str = "source", pos: str = "pos") -> DataFrame:
-    """df with mix_pos: the row's place in a weighted mix of its sources without replacement. pos: place in the source."""
-    timed = running_sum(with_gaps(df, weights, seed, source, pos), [source], pos, "__gap", "__arrival", inclusive=True)
-    return global_rank(timed, "__arrival", [source, pos], "mix_pos").drop("__gap", "__arrival")
+    """df with mix_pos: the row's place in a weighted mix of its sources without replacement. pos: place in the source, unique there.
+
+    The order is found over (source, pos) alone; the rows take their places from it by one join.
+    """
+    timed = offsets(with_gaps(df.select(source, pos), weights, seed, source, pos), [source], pos, "__gap", "__arrival", inclusive=True)
+    places = global_rank(timed, "__arrival", [source, pos], "mix_pos").drop("__arrival")
+    return holds(df.join(places, [source, pos]).select(*df.columns, "mix_pos"), timed, places)
 
 
 def mix_restart(df: DataFrame, weights: dict[str, float], epochs: int, seed: int = 0, source: str = "source", pos: str = "pos") -> DataFrame:

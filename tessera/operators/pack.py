@@ -1,6 +1,6 @@
 """Packing token arrays into blocks of equal length.
 
-A document's offset is a running sum of lengths (in two phases, see prefix), so every document knows which blocks it touches. It
+A document's offset is a running sum of lengths (in two phases over the lengths alone, see prefix), so every document knows which blocks it touches. It
 explodes into its pieces, one for each block, and a block is put together from its own pieces only: no task sees more than a block.
 """
 
@@ -11,27 +11,30 @@ from pyspark.sql import functions as F
 
 from tessera.functions import fixed
 from tessera.operators.tokens import fit, mask
+from tessera.plans.lineage import cut, holds
 from tessera.plans.prefix import running_sum
 
 
 def pieces(df: DataFrame, keys: list[str], order: str, block_size: int, ids: str = "ids") -> DataFrame:
-    """(keys, block_id, off, piece): each document's part of each block that it touches."""
-    sized = running_sum(df.where(F.size(ids) > 0).withColumn("__n", F.size(ids).cast("long")), keys, order, "__n", "__off")
+    """(keys, block_id, off, piece): each document's part of each block that it touches. The ids are written once, so that they are not made again for the lengths."""
+    own = cut(df.where(F.size(ids) > 0).select(*keys, order, F.size(ids).cast("long").alias("__n"), ids), "ids", *getattr(df, "_tessera_holds", ()))
+    sized = running_sum(own, keys, order, "__n", "__off")
     first, last = F.floor(F.col("__off") / block_size), F.floor((F.col("__off") + F.col("__n") - 1) / block_size)
     each = sized.withColumn("block_id", F.explode(F.sequence(first, last)))
     begin = F.greatest(F.col("block_id") * block_size - F.col("__off"), F.lit(0))
     end = F.least((F.col("block_id") + 1) * block_size - F.col("__off"), F.col("__n"))
-    return each.select(*keys, "block_id", (F.col("__off") + begin).alias("off"), F.slice(ids, (begin + 1).cast("int"), (end - begin).cast("int")).alias("piece"))
+    return holds(each.select(*keys, "block_id", (F.col("__off") + begin).alias("off"), F.slice(ids, (begin + 1).cast("int"), (end - begin).cast("int")).alias("piece")), own, sized)
 
 
 def blocks(df: DataFrame, keys: list[str], order: str, block_size: int, ids: str = "ids", tail: str = "drop", pad: int = fixed.EOS) -> DataFrame:
     """(keys, block_id, input_ids, labels, attention_mask). tail: what becomes of the last, shorter block: "drop" or "pad"."""
-    put = pieces(df, keys, order, block_size, ids).groupBy(*keys, "block_id").agg(F.sort_array(F.collect_list(F.struct("off", "piece"))).alias("p"))
+    parts = pieces(df, keys, order, block_size, ids)
+    put = parts.groupBy(*keys, "block_id").agg(F.sort_array(F.collect_list(F.struct("off", "piece"))).alias("p"))
     out = put.select(*keys, "block_id", F.flatten(F.col("p.piece")).alias("input_ids"))
     if tail == "drop":
         out = out.where(F.size("input_ids") == block_size)
-        return out.select(*keys, "block_id", "input_ids", F.col("input_ids").alias("labels"), F.array_repeat(F.lit(1).cast("tinyint"), block_size).alias("attention_mask"))
-    return out.select(*keys, "block_id", fit("input_ids", block_size, pad).alias("input_ids"), fit("input_ids", block_size, fixed.IGNORED).alias("labels"), mask("input_ids", block_size).alias("attention_mask"))
+        return holds(out.select(*keys, "block_id", "input_ids", F.col("input_ids").alias("labels"), F.array_repeat(F.lit(1).cast("tinyint"), block_size).alias("attention_mask")), parts)
+    return holds(out.select(*keys, "block_id", fit("input_ids", block_size, pad).alias("input_ids"), fit("input_ids", block_size, fixed.IGNORED).alias("labels"), mask("input_ids", block_size).alias("attention_mask")), parts)
 
 
 def batch_blocks(df: DataFrame, pos: str, batch: int, block_size: int, ids: str = "ids", exclusive_tail: bool = True) -> DataFrame:

@@ -19,8 +19,38 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written once and read back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def cut(df: DataFrame, name: str, *used: DataFrame) -> DataFrame:
+    """df written once and read back. used, and what holds() named: cuts that only df reads; they are deleted once df is written.
+
+    A cut that nobody releases is deleted when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_cut = path
+    at, fs = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    release(df, *used)
+    return out
+
+
+def holds(df: DataFrame, *used: DataFrame) -> DataFrame:
+    """df, which alone reads these cuts (and those that they hold)."""
+    df._tessera_holds = [y for x in used for y in (x, *getattr(x, "_tessera_holds", ()))]
+    return df
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete these cuts, and the cuts that the frames hold: nothing reads them any more."""
+    for df in frames:
+        for x in (df, *getattr(df, "_tessera_holds", ())):
+            if path := getattr(x, "_tessera_cut", None):
+                at, fs = _file_system(x.sparkSession, path)
+                fs.delete(at, True)
+        df._tessera_holds = []
