@@ -10,7 +10,7 @@ the ranks are known to within 2 n / S; its answer takes the middle and is off by
 
 How it scales: rows that are counted, drawn and split are keyed by bucket and piece (at most `piece` values and their pivots in one task), so no group, batch or bucket is
 gathered. A window over a whole group sees edges of buckets only, a bounded number for each batch. Groups of at most `plain` rows take the
-last step of every split at once: each value is a bucket. Joins with lists of groups or buckets are left to Spark, which broadcasts small ones and sorts and splits the others.
+last step of every split at once: each value is a bucket. Lists of groups or buckets grow with the input, so their joins are sort-merge joins, which adaptive execution splits where a key is hot.
 
 Defined results: rows with a null in group, batch, x or count, or a count under 1, are left out; batches are numbers from 0; ties and repeated rows count as often as they come; no rows give no
 summaries; other columns are ignored, and groups may have any names.
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import cut
-from tessera.plans.prefix import running_sum
+from tessera.plans.prefix import offsets
 
 #: The batch that stands for the whole of a group.
 WHOLE = -1
@@ -62,7 +62,7 @@ def buckets(values: DataFrame, keys: list[str], limits: Limits = Limits()) -> Da
         todo = all_.where(~good).select(*keys, *cell, "n", "w", "d", "hi", wanted.alias("wanted"), F.ceil(F.col("d") / limits.piece).alias("pieces"))
         if not todo.take(1):
             return reduce(DataFrame.unionByName, found)
-        open_rows = rows.drop("n").join(todo, [*keys, *cell])
+        open_rows = rows.drop("n").join(todo.hint("merge"), [*keys, *cell])
         few = F.col("d") <= F.col("wanted")
         found.append(open_rows.where(few).select(*keys, "x", F.col("c").alias("w"), F.col("c").alias("m")))
         rows = cut(_counted(open_rows.where(~few), todo.where(~few), keys, cell, turn), f"split-{turn}")
@@ -147,7 +147,7 @@ def estimates(edges: DataFrame, group: list[str], parts: int = 20, limits: Limit
 def ranked(values: DataFrame, group: list[str]) -> DataFrame:
     """(group, batch, x, c, below) for each value of each batch and of the whole: exact ranks over Spark's range partitions."""
     whole = values.groupBy(*group, "x").agg(F.sum("c").alias("c")).select(*group, F.lit(WHOLE).alias("batch"), "x", "c")
-    return running_sum(values.select(*group, "batch", "x", "c").unionByName(whole), [*group, "batch"], "x", "c", "below")
+    return offsets(values.select(*group, "batch", "x", "c").unionByName(whole), [*group, "batch"], "x", "c", "below", stay=("c",))
 
 
 def summarise(rows: DataFrame, group: list[str], batch: str = "batch", parts: int = 20, limits: Limits = Limits()) -> DataFrame:
@@ -157,16 +157,16 @@ def summarise(rows: DataFrame, group: list[str], batch: str = "batch", parts: in
     named = rows.select(*(c(g).alias(o) for g, o in zip(group, own, strict=True)), c(batch).cast("int").alias("batch"), c("x").cast("long").alias("x"), c("c").cast("long").alias("c"))
     rows = cut(named.dropna().where(c("c") > 0), "rows")
     large = cut(rows.groupBy(*own).count().where(c("count") > limits.plain).select(*own), "large-groups")
-    values = cut(rows.join(large, own, "left_semi").groupBy(*keys, "x").agg(F.sum("c").alias("c")), "values")
+    values = cut(rows.join(large.hint("merge"), own, "left_semi").groupBy(*keys, "x").agg(F.sum("c").alias("c")), "values")
 
     # of a plain group every value is an edge, so its ranks are exact
-    plain = rows.join(large, own, "left_anti").select(*keys, "x", c("c").alias("w"), c("c").alias("m"))
+    plain = rows.join(large.hint("merge"), own, "left_anti").select(*keys, "x", c("c").alias("w"), c("c").alias("m"))
     exact = estimates(plain, own, parts, limits).withColumn("exact_x", c("answer"))
 
     found, places = cut(estimates(buckets(values, keys, limits), own, parts, limits), "answers"), ranked(values, own)
-    at = places.join(found.select(*keys, "n").distinct(), keys).withColumn("i", F.explode(_fractions(c("below"), c("below") + c("c"), c("n"), parts)))
-    held = found.drop("n_below", "n_upto").join(at.select(*keys, c("i").cast("int").alias("i"), c("x").alias("exact_x")), [*keys, "i"])
-    held = held.join(places.select(*keys, c("x").alias("answer"), c("below").alias("n_below"), (c("below") + c("c")).alias("n_upto")), [*keys, "answer"])
+    at = places.join(found.select(*keys, "n").distinct().hint("merge"), keys).withColumn("i", F.explode(_fractions(c("below"), c("below") + c("c"), c("n"), parts)))
+    held = found.drop("n_below", "n_upto").join(at.select(*keys, c("i").cast("int").alias("i"), c("x").alias("exact_x")).hint("merge"), [*keys, "i"])
+    held = held.hint("merge").join(places.select(*keys, c("x").alias("answer"), c("below").alias("n_below"), (c("below") + c("c")).alias("n_upto")), [*keys, "answer"])
     error = F.greatest(F.lit(0), c("n_below") + 1 - c("target"), c("target") - c("n_upto"))
     out = exact.unionByName(held).withColumn("rank_error", error)
     back = [c(o).alias(g) for o, g in zip(own, group, strict=True)]
