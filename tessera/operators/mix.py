@@ -27,8 +27,8 @@ def mix(df: DataFrame, weights: dict[str, float], seed: int = 0, source: str = "
     The order is found over (source, pos) alone; the rows take their places from it by one join.
     """
     timed = offsets(with_gaps(df.select(source, pos), weights, seed, source, pos), [source], pos, "__gap", "__arrival", inclusive=True)
-    places = global_rank(timed, "__arrival", [source, pos], "mix_pos").drop("__arrival")
-    return holds(df.join(places, [source, pos]).select(*df.columns, "mix_pos"), timed, places)
+    ranked = global_rank(timed, "__arrival", [source, pos], "mix_pos")
+    return holds(df.join(ranked.drop("__arrival"), [source, pos]).select(*df.columns, "mix_pos"), timed, ranked)
 
 
 def mix_restart(df: DataFrame, weights: dict[str, float], epochs: int, seed: int = 0, source: str = "source", pos: str = "pos") -> DataFrame:

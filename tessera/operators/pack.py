@@ -15,9 +15,15 @@ from tessera.plans.lineage import cut, holds
 from tessera.plans.prefix import running_sum
 
 
-def pieces(df: DataFrame, keys: list[str], order: str, block_size: int, ids: str = "ids") -> DataFrame:
-    """(keys, block_id, off, piece): each document's part of each block that it touches. The ids are written once, so that they are not made again for the lengths."""
-    own = cut(df.where(F.size(ids) > 0).select(*keys, order, F.size(ids).cast("long").alias("__n"), ids), "ids", *getattr(df, "_tessera_holds", ()))
+def pieces(df: DataFrame, keys: list[str], order: str, block_size: int, ids: str = "ids", lengths: str | None = None) -> DataFrame:
+    """(keys, block_id, off, piece): each document's part of each block that it touches.
+
+    The ids are written once, so that they are not made again for the lengths; a table that has been written with its lengths (a column) is read as it is.
+    """
+    if lengths:
+        own = df.where(F.col(lengths) > 0).select(*keys, order, F.col(lengths).alias("__n"), ids)
+    else:
+        own = cut(df.where(F.size(ids) > 0).select(*keys, order, F.size(ids).cast("long").alias("__n"), ids), "ids")
     sized = running_sum(own, keys, order, "__n", "__off")
     first, last = F.floor(F.col("__off") / block_size), F.floor((F.col("__off") + F.col("__n") - 1) / block_size)
     each = sized.withColumn("block_id", F.explode(F.sequence(first, last)))
@@ -26,9 +32,9 @@ def pieces(df: DataFrame, keys: list[str], order: str, block_size: int, ids: str
     return holds(each.select(*keys, "block_id", (F.col("__off") + begin).alias("off"), F.slice(ids, (begin + 1).cast("int"), (end - begin).cast("int")).alias("piece")), own, sized)
 
 
-def blocks(df: DataFrame, keys: list[str], order: str, block_size: int, ids: str = "ids", tail: str = "drop", pad: int = fixed.EOS) -> DataFrame:
+def blocks(df: DataFrame, keys: list[str], order: str, block_size: int, ids: str = "ids", tail: str = "drop", pad: int = fixed.EOS, lengths: str | None = None) -> DataFrame:
     """(keys, block_id, input_ids, labels, attention_mask). tail: what becomes of the last, shorter block: "drop" or "pad"."""
-    parts = pieces(df, keys, order, block_size, ids)
+    parts = pieces(df, keys, order, block_size, ids, lengths)
     put = parts.groupBy(*keys, "block_id").agg(F.sort_array(F.collect_list(F.struct("off", "piece"))).alias("p"))
     out = put.select(*keys, "block_id", F.flatten(F.col("p.piece")).alias("input_ids"))
     if tail == "drop":

@@ -34,7 +34,13 @@ def test_build_shards(spark, inputs, tmp_path):
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert blocks.exceptAll(S.shards(spark, again)).count() == 0
     meta = json.loads(spark.read.text(f"{root}/meta", wholetext=True).first()[0])
-    assert {s["source"]: s["wrapped"] > 0 for s in meta["sources"]} == {"x/a": True, "b": False}
+    by = {s["source"]: s for s in meta["sources"]}
+    for source, n in (("x/a", 400), ("b", 300)):
+        own = B.prepared(spark, config(inputs, num_shards=3)).where(F.col("source") == source)
+        whole, many, wrapped = own.where("chunk_no = 0").count(), own.where("chunk_no = 0 and is_chunked").count(), own.where("wrapped").count()
+        assert by[source] == {"source": source, "seen": n, "accepted": whole, "skipped": n - whole, "chunks": own.count(), "chunked": many, "wrapped": wrapped}
+    assert by["x/a"]["wrapped"] > 0 == by["b"]["wrapped"]
+    assert sum(r["tokens"] for r in meta["tokenised"]) <= 3 * 24 * 128 * 1.1 + 3 * 200
     with pytest.raises(ValueError, match="ran out"):
         c = config(inputs, num_shards=3)
         c.shard_tokens = 10_000_000
@@ -42,6 +48,36 @@ def test_build_shards(spark, inputs, tmp_path):
     assert sinks.drop_incomplete(spark, str(tmp_path / "more")) == [0, 1, 2]
 
 
+def test_only_what_the_budget_reaches_is_tokenised(spark, tmp_path):
+    """Texts of which a token takes a varying number of bytes: a few rounds, a small rest beyond the budget, and the blocks of all."""
+    from tessera.operators import mix, pack
+    from tessera.plans.lineage import cut
+
+    df = cut(spark.range(4000).select(F.col("id").alias("__row"), F.when(F.col("id") < 900, F.repeat(F.lit("ab "), 30)).otherwise(F.repeat(F.lit("longer words "), 9)).alias("text")), "t")
+    order = cut(df.select("__row", (F.col("__row") % 3).cast("int").alias("shard_id"), F.col("__row").alias("mix_pos"), F.octet_length("text").cast("long").alias("bytes")), "o")
+    whole = order.join(df, "__row").select("shard_id", "mix_pos", "text")
+
+    def words(x):
+        return x.select("shard_id", "mix_pos", F.transform(F.split(F.rtrim("text"), " "), lambda w: F.length(w)).alias("ids"))
+
+    want = mix.token_budget(pack.blocks(words(whole), ["shard_id"], "mix_pos", 64), 12_000, 64)
+    ids, rounds = B.within_budget(df, order, words, -(-12_000 // 64) * 64, guess=2.0)
+    got = mix.token_budget(pack.blocks(ids, ["shard_id"], "mix_pos", 64, lengths="n"), 12_000, 64)
+    assert got.count() == want.count() == 3 * 188 and got.exceptAll(want).count() == 0
+    assert 2 <= len(rounds) <= 5 and 36_096 <= sum(r["tokens"] for r in rounds) <= 36_096 * 1.1 < words(whole).select(F.sum(F.size("ids"))).first()[0]
+
+
+def test_nothing_written_on_the_way_stays(spark, inputs, tmp_path):
+    from tessera.plans.lineage import shared_dir
+
+    place = shared_dir(spark).removeprefix("file://")
+    import os
+
+    before = set(os.listdir(place))
+    B.build(spark, config(inputs, num_shards=2), str(tmp_path / "out"))
+    assert set(os.listdir(place)) == before
+
+
 def test_eval_suite(spark, inputs, tmp_path):
     root = str(tmp_path / "suite")
     c = config(inputs)
