@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import fixed
 from tessera.functions import text as T
+from tessera.plans.lineage import cut, holds
 
 MESSAGE = "array<struct<role:string,content:string>>"
 
@@ -181,25 +182,32 @@ def best_children(nodes: DataFrame) -> DataFrame:
     return nodes.where("parent_id is not null and parent_id <> ''").withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
+#: One recursive relation: a row for each message of a path, from the frontier of the step before.
+WALK = """
+with recursive walk (root_id, at, role, content, step, n) as (
+  select root_id, at, role, content, 0, n from {roots}
+  union all
+  select w.root_id, c.m, c.r, c.t, w.step + 1, w.n + 1 from walk w join {children} c on c.p = w.at and c.r = case when w.role = 'assistant' then 'user' else 'assistant' end where w.n < {most}
+)
+select root_id, transform(array_sort(collect_list(struct(step, role, content))), x -> struct(x.role as role, x.content as content)) as messages from walk group by root_id
+"""
+
+
 def tree_paths(nodes: DataFrame, most: int = 8, only: str | None = "en") -> DataFrame:
     """(root_id, messages): one conversation for each root, alternating roles through the best children.
 
-    nodes: message_id, parent_id, role, text, lang, rank, accepted, input_pos. At most `most` joins on the parent, each on the
-    frontier only; a message of another language prunes what hangs below it.
+    nodes: message_id, parent_id, role, text, lang, rank, accepted, input_pos. A message of another language prunes what hangs below it. The walk is one recursive
+    relation whose frontier has a row for each path that goes on; best children are written once and joined to it at each step.
     """
+    spark = nodes.sparkSession
     own = nodes.where(F.col("lang").isNull() | (F.col("lang") == only)) if only else nodes
-    own = own.where("message_id is not null and message_id <> ''").withColumn("role", T.normalise_role("role")).withColumn("text", T.strip("text"))
-    step = best_children(own.where("role is not null")).select(F.col("parent_id").alias("p"), F.col("role").alias("r"), F.col("message_id").alias("m"), F.col("text").alias("t"))
-    now = own.where("(parent_id is null or parent_id = '') and role is not null and text <> ''").select(
-        F.col("message_id").alias("root_id"), F.col("message_id").alias("at"), "role", F.array(F.struct("role", F.col("text").alias("content"))).alias("messages"), (F.col("role") != "system").cast("int").alias("n")
-    )
-    for _ in range(most):
-        # a path that has ended keeps its row and finds no further child
-        want = F.when(F.col("n") >= most, F.lit("none")).when(F.col("role") == "assistant", "user").otherwise("assistant")
-        met = now.withColumn("want", want).join(step.where("t <> ''"), (F.col("at") == F.col("p")) & (F.col("r") == F.col("want")), "left")
-        grown = F.when(F.col("m").isNull(), F.col("messages")).otherwise(F.concat("messages", F.array(F.struct(F.col("r").alias("role"), F.col("t").alias("content")))))
-        now = met.select("root_id", F.col("m").alias("at"), F.coalesce("r", "role").alias("role"), grown.alias("messages"), (F.col("n") + F.col("m").isNotNull().cast("int")).alias("n"))
-    return now.select("root_id", "messages")
+    own = own.where("message_id is not null and message_id <> ''").withColumn("role", T.normalise_role("role")).withColumn("text", T.strip("text")).where("role is not null")
+    best = best_children(own).where("text <> ''").select(F.col("parent_id").alias("p"), F.col("role").alias("r"), F.col("message_id").alias("m"), F.col("text").alias("t"))
+    children = cut(best, "children")
+    roots = own.where("(parent_id is null or parent_id = '') and text <> ''").select(F.col("message_id").alias("root_id"), F.col("message_id").alias("at"), "role", F.col("text").alias("content"), (F.col("role") != "system").cast("int").alias("n"))
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # the walk ends by itself: n grows at each step
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max(100, most + 2)))
+    return holds(spark.sql(WALK, roots=roots, children=children, most=most), children)
 
 
 def prompt_suite(df: DataFrame) -> DataFrame:

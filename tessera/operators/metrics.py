@@ -168,6 +168,20 @@ def without_speed(df: DataFrame, name: str = "metric") -> DataFrame:
     return df.where(~F.col(name).rlike("^eval_.*_(runtime|samples_per_second|steps_per_second)$") & ~F.col(name).rlike("^eval_(runtime|samples_per_second|steps_per_second)$"))
 
 
+def swept_rate(low: float, high: float, step: Column, steps: Column) -> Column:
+    """The rate at a step of a geometric sweep from low to high over so many steps."""
+    return F.lit(low) * F.exp(F.log(F.lit(high / low)) * step / steps)
+
+
+def tokens_per_step(block_size: Column, batch: Column, accumulate: Column) -> Column:
+    return (block_size * batch * accumulate).cast("long")
+
+
+def step_budget(tokens: Column, per_step: Column) -> Column:
+    """Steps that see at least so many tokens."""
+    return F.ceil(tokens / per_step).cast("long")
+
+
 def lr_sweep(low: float, high: float, steps: int, step: str = "id") -> Column:
     """Geometric sweep from low to high."""
     return F.lit(low) * F.exp(F.log(F.lit(high / low)) * F.col(step) / steps)

@@ -219,12 +219,15 @@ def metric_filter(spark, d):
     return M.without_speed(own)
 
 
-@query("SELECT i AS id, round(1e-6::DOUBLE * exp(ln(1e-2::DOUBLE / 1e-6::DOUBLE) * i / 100), 12) AS lr, 32768 AS tokens_per_step, ceil(1e9::DOUBLE / 32768)::BIGINT AS max_steps FROM range(101) AS t(i)")
+@query("""WITH n AS (SELECT user_id AS run, count(*) AS n, sum(event_id % 1000 + 1)::BIGINT AS tokens FROM events GROUP BY user_id), e AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step FROM events)
+SELECT run, step, round(1e-6::DOUBLE * exp(ln(1e-2::DOUBLE / 1e-6::DOUBLE) * step / n), 12) AS lr, 32 * (run % 4 + 1) AS tokens_per_step, ceil(tokens::DOUBLE / (32 * (run % 4 + 1)))::BIGINT AS max_steps FROM e JOIN n USING (run)""")
 def lr_sweep(spark, d):
-    from tessera.operators.pack import budget
-
-    b = budget(1024, 8, 4, 1_000_000_000)
-    return spark.range(101).select("id", F.round(M.lr_sweep(1e-6, 1e-2, 100), 12).alias("lr"), F.lit(b["tokens_per_step"]).alias("tokens_per_step"), F.lit(b["max_steps"]).cast("long").alias("max_steps"))
+    """The rate of a geometric sweep at each step of each run, and the steps of the run's token budget."""
+    own = table(spark, d, "events")
+    sizes = own.groupBy(F.col("user_id").alias("run")).agg(F.count("*").alias("n"), F.sum(F.col("event_id") % 1000 + 1).alias("tokens"))
+    steps = own.select(F.col("user_id").alias("run"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long").alias("step"))
+    per_step = M.tokens_per_step(F.lit(8), F.col("run") % 4 + 1, F.lit(4))
+    return steps.join(sizes, "run").select("run", "step", F.round(M.swept_rate(1e-6, 1e-2, F.col("step"), F.col("n")), 12).alias("lr"), per_step.alias("tokens_per_step"), M.step_budget(F.col("tokens"), per_step).alias("max_steps"))
 
 
 # --- quantiles, means, counts ----------------------------------------------------------------------------------------------

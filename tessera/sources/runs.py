@@ -119,13 +119,51 @@ def _scalar(value: bytes):
     return tag, number
 
 
-def scalars(data: bytes):
-    """(tag, step, wall time, value) of each scalar of a log, in its order; a record that is cut off ends it."""
+def _table() -> list[int]:
+    """Remainders of single bytes by the reflected polynomial of CRC-32C."""
+    out = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0x82F63B78 if byte & 1 else 0)
+        out.append(byte)
+    return out
+
+
+TABLE = _table()
+
+
+def crc32c(data: bytes) -> int:
+    crc = 0xFFFFFFFF
+    for b in data:
+        crc = TABLE[(crc ^ b) & 255] ^ crc >> 8
+    return crc ^ 0xFFFFFFFF
+
+
+def masked(data: bytes) -> int:
+    """The checksum as records hold it: rotated by 15 bits and shifted by a constant."""
+    crc = crc32c(data)
+    return (crc >> 15 | crc << 17) + 0xA282EAD8 & 0xFFFFFFFF
+
+
+def record(message: bytes) -> bytes:
+    """A record of a message, for writers and tests."""
+    head = struct.pack("<Q", len(message))
+    return head + struct.pack("<I", masked(head)) + message + struct.pack("<I", masked(message))
+
+
+def scalars(data: bytes, check: bool = True):
+    """(tag, step, wall time, value) of each scalar of a log, in its order.
+
+    A record that is cut off, or whose length's checksum does not agree, ends it; a message whose checksum does not agree is left out.
+    """
     at = 0
     while at + 12 <= len(data):
         size = struct.unpack_from("<Q", data, at)[0]
-        if at + 16 + size > len(data):
+        if at + 16 + size > len(data) or check and struct.unpack_from("<I", data, at + 8)[0] != masked(data[at : at + 8]):
             return
+        if check and struct.unpack_from("<I", data, at + 12 + size)[0] != masked(data[at + 12 : at + 12 + size]):
+            at += 16 + size
+            continue
         step, time, summary = 0, 0.0, []
         for k, v in _fields(data[at + 12 : at + 12 + size]):
             if k == 1:

@@ -22,7 +22,7 @@ def field(number, kind, data):
 def event(step, values, time=1.5):
     summary = b"".join(field(1, 2, field(1, 2, tag.encode()) + (field(2, 5, struct.pack("<f", v)) if simple else field(8, 2, field(1, 0, varint(1)) + field(4, 2, struct.pack("<f", v))))) for tag, v, simple in values)
     data = field(1, 1, struct.pack("<d", time)) + field(2, 0, varint(step)) + (field(5, 2, summary) if values else field(3, 2, b"brain.Event:2"))
-    return struct.pack("<Q", len(data)) + b"crc1" + data + b"crc2"
+    return runs.record(data)
 
 
 def test_event_logs_and_their_merge(spark, tmp_path):
