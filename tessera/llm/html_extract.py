@@ -3,9 +3,11 @@
 Every DOM node gets its link-adjusted characters per tag; the densities of a node's children add up to its density sum. The node
 of the largest sum is the core. The smallest density on the path from the body to it is the threshold: wherever a node reaches it,
 the node of the largest sum below is content too. The smallest subtree that holds all content, widened to the article around it, is the
-main text. Menus, page headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are cut before, by element,
-role, class or id words, or as blocks that are mostly links; what holds the article, or on a page
-without article and heading most of the text, is not cut.
+main text. Menus, page headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are cut before. Outside an article that goes by element,
+role, words of class or id, and blocks that are mostly links; what holds the article, or on a page without article and heading most of the text, is not cut. Inside an article it goes
+by element and role, by names that mean comments, and by names that stand alone, of parts that hold little of the article's text: a section of links, or one called `related-work`, stays.
+
+Pages are read by a scanner that passes over every character a bounded number of times, whatever the markup: unclosed tags, quotes and comments end with the page.
 
 Defined results: null, empty or textless pages give the empty text; broken markup is read as far as it goes (an unclosed element
 ends with its parent); text outside any element counts; repeated rows each get their result; other columns are ignored.
@@ -16,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +28,7 @@ from tessera.llm.shared import lean
 
 #: Elements by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("head script style noscript template iframe svg math object canvas audio video map title datalist".split())
+SILENT = frozenset("head script style noscript template iframe svg annotation annotation-xml canvas audio video map title datalist".split())
 BOILER = frozenset("nav footer aside form button select textarea input fieldset menu dialog".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
 CLOSES = {
@@ -45,96 +47,169 @@ MARKS = re.compile(r"sidebar|footer|breadcrumb|cookie|newsletter|advert|navbar|n
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-class Tree(HTMLParser):
-    """Nodes in page order (parent, tag, attributes, last event) and the events: (0 start | 1 end | 2 text, node, text)."""
+#: Words that stand for a part's purpose beside one of WORDS, so that the name still stands alone.
+SHAPES = frozenset("box boxes list container wrapper wrap block section buttons bar area links posts articles stories form unit slot inner item items content top bottom left right".split())
+#: Names that inside an article may as well head its own sections.
+OWN = frozenset("discussion search notice notices alert reply replies respond social navigation menu banner overlay widget skip".split())
+READERS = re.compile(r"(?:(?:user|reader|post|article|all)[-_]?)?comments?(?:[-_]?(?:list|section|area|thread|form|wrapper|container|box|block))?|disqus\w*")
+#: Elements whose content is no markup.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+TAG, SPACE, ATTRIBUTE, BARE = re.compile(r"[a-zA-Z][^\s/>]*"), re.compile(r"[\s/]*"), re.compile(r"[^\s/>=][^\s/>=]*|="), re.compile(r"[^\s>]*")
+EQUALS = re.compile(r"\s*=\s*")
+WHITE = re.compile(r"\s+")
+
+P, P_SCOPE, HEAD = frozenset(["p"]), frozenset(["table", "td", "th", "button", "blockquote", "li", "div", "article", "section", "body"]), frozenset(["head"])
+#: What a start tag closes: (tags, elements behind which they stay open).
+RULES = [(P, P_SCOPE), (HEAD, frozenset()), *((CLOSES[t], SCOPE.get(t, frozenset())) for t in CLOSES)]
+OF_P, OF_HEAD, RULE = 0, 1, {t: 2 + i for i, t in enumerate(CLOSES)}
+#: For each element the rules in which it counts as a tag or as a scope.
+AS_TAG = {t: [i for i, (tags, _) in enumerate(RULES) if t in tags] for t in {t for tags, _ in RULES for t in tags}}
+AS_SCOPE = {t: [i for i, (tags, scope) in enumerate(RULES) if t in scope and t not in tags] for t in {t for _, scope in RULES for t in scope}}
+
+
+class Tree:
+    """Nodes in page order (parent, tag, attributes) and the events: (0 start | 1 end | 2 text, node, text)."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.attrs = ["#root"], [-1], [{}]
         self.events: list[tuple[int, int, str]] = [(0, 0, "")]
         self.stack = [0]
         self.open: Counter = Counter()  # by tag, so that a search for what is not open costs nothing
+        self.near = [[0] for _ in RULES]  # of each rule: open tags within each open scope, so that one for what is out of scope costs nothing either
+
+    def _push(self, node: int, tag: str) -> None:
+        self.stack.append(node)
+        self.open[tag] += 1
+        for r in AS_TAG.get(tag, ()):
+            self.near[r][-1] += 1
+        for r in AS_SCOPE.get(tag, ()):
+            self.near[r].append(0)
 
     def _pop(self) -> None:
         node = self.stack.pop()
-        self.open[self.tag[node]] -= 1
+        tag = self.tag[node]
+        self.open[tag] -= 1
+        for r in AS_SCOPE.get(tag, ()):
+            self.near[r].pop()
+        for r in AS_TAG.get(tag, ()):
+            self.near[r][-1] -= 1
         self.events.append((1, node, ""))
 
-    def parse_marked_section(self, i, report=1):
-        """A marked section of a kind that the parser does not know goes to the next '>', or is text if there is none."""
-        try:
-            return super().parse_marked_section(i, report)
-        except AssertionError:
-            end = self.rawdata.find(">", i)
-            return -1 if end < 0 else end + 1
-
-    def unknown_decl(self, data):
-        pass
+    def _close(self, rule: int) -> None:
+        """Closes the innermost open element of the rule's tags unless an element of its scope stands between."""
+        if self.near[rule][-1]:
+            tags = RULES[rule][0]
+            while self.tag[self.stack[-1]] not in tags:
+                self._pop()
+            self._pop()
 
-    def _close(self, tags: frozenset, scope: frozenset) -> None:
-        """Closes the innermost open element of tags unless an element of scope stands between."""
-        if not any(self.open[t] for t in tags):
-            return
-        for i in range(len(self.stack) - 1, 0, -1):
-            t = self.tag[self.stack[i]]
-            if t in tags:
-                while len(self.stack) > i:
-                    self._pop()
-                return
-            if t in scope:
-                return
-
-    def handle_starttag(self, tag, attrs):
+    def start(self, tag: str, attrs: dict, closed: bool) -> None:
         if tag in CLOSES:
             for _ in range(2 if tag in ("tr", "tbody", "thead") else 1):
-                self._close(CLOSES[tag], SCOPE.get(tag, frozenset()))
+                self._close(RULE[tag])
         elif tag in BLOCK:
-            self._close(P, P_SCOPE)
+            self._close(OF_P)
             if tag == "body":
-                self._close(HEAD, frozenset())
+                self._close(OF_HEAD)
         node = len(self.tag)
         self.tag.append(tag)
         self.parent.append(self.stack[-1])
-        self.attrs.append({k: v or "" for k, v in attrs} if attrs else {})
+        self.attrs.append(attrs)
         self.events.append((0, node, ""))
-        if tag in VOID:
+        if tag in VOID or closed and tag in ("script", "style", "svg", "path", "iframe", "use", "g", "rect", "circle"):
             self.events.append((1, node, ""))
         else:
-            self.stack.append(node)
-            self.open[tag] += 1
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag in ("script", "style", "svg", "path", "iframe", "use", "g", "rect", "circle"):
-            self.handle_endtag(tag)
+            self._push(node, tag)
 
-    def handle_endtag(self, tag):
+    def end(self, tag: str) -> None:
         if tag in VOID or not self.open[tag]:
             return
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.tag[self.stack[i]] == tag:
-                while len(self.stack) > i:
-                    self._pop()
-                return
+        while self.tag[self.stack[-1]] != tag:
+            self._pop()
+        self._pop()
 
-    def handle_data(self, data):
-        self.events.append((2, self.stack[-1], data))
+    def data(self, text: str) -> None:
+        if text:
+            self.events.append((2, self.stack[-1], unescape(text)))
 
     def finish(self, html: str) -> Tree:
-        self.feed(html)
-        self.close()
+        at, n = 0, len(html)
+        while at < n:
+            i = html.find("<", at)
+            if i < 0:
+                self.data(html[at:])
+                break
+            self.data(html[at:i])
+            at = self._tag(html, i)
         while self.stack:
             self._pop()
         return self
 
-
-P, P_SCOPE, HEAD = frozenset(["p"]), frozenset(["table", "td", "th", "button", "blockquote", "li", "div", "article", "section", "body"]), frozenset(["head"])
+    def _tag(self, html: str, i: int) -> int:
+        """Reads the markup at html[i], a "<"; gives the place behind it."""
+        n = len(html)
+        if m := TAG.match(html, i + 1):
+            return self._start_tag(html, m)
+        if html.startswith("</", i) and (m := TAG.match(html, i + 2)):
+            end = html.find(">", m.end())
+            if end < 0:
+                return n
+            self.end(m[0].lower())
+            return end + 1
+        if html.startswith("<!--", i):
+            if html.startswith((">", "->"), i + 4):
+                return html.index(">", i) + 1
+            end = html.find("-->", i + 4)
+            return n if end < 0 else end + 3
+        if html.startswith(("<!", "<?", "</"), i):
+            end = html.find(">", i)
+            return n if end < 0 else end + 1
+        self.data("<")
+        return i + 1
+
+    def _start_tag(self, html: str, m: re.Match) -> int:
+        n, tag, attrs, at = len(html), m[0].lower(), {}, m.end()
+        while True:
+            before, at = at, SPACE.match(html, at).end()
+            if at >= n:
+                return n  # a tag that never ends is none
+            if html[at] == ">":
+                closed = "/" in html[before:at]
+                at += 1
+                break
+            a = ATTRIBUTE.match(html, at)
+            name, value, at = a[0].lower(), "", a.end()
+            if e := EQUALS.match(html, at):
+                at = e.end()
+                if at < n and html[at] in "\"'":
+                    end = html.find(html[at], at + 1)
+                    if end < 0:
+                        return n
+                    value, at = html[at + 1 : end], end + 1
+                else:
+                    v = BARE.match(html, at)
+                    value, at = v[0], v.end()
+            attrs.setdefault(name, unescape(value))
+        self.start(tag, attrs, closed)
+        if tag in RAW and self.stack and self.tag[self.stack[-1]] == tag:
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(html, at)
+            stop = end.start() if end else n
+            if tag not in SILENT:
+                self.data(html[at:stop])
+            at = stop
+        return at
 
 
 def names(attrs: dict) -> set[str]:
     return {x.lower() for k in ("class", "id") if k in attrs for x in NAME_PART.findall(attrs[k])}
 
 
+def stands_alone(name: str) -> bool:
+    """A name of one of WORDS, alone or with words for a part's shape or place."""
+    parts = {x.lower() for x in NAME_PART.findall(name)}
+    return bool(parts & WORDS) and parts <= WORDS | SHAPES and not parts <= OWN | SHAPES
+
+
 class Page:
     def __init__(self, html: str):
         self.tree = t = Tree().finish(html)
@@ -157,7 +232,7 @@ class Page:
             link[i] = t.tag[i] == "a" or (p >= 0 and link[p])
         chars, link_chars = [0] * n, [0] * n
         for kind, i, text in t.events:
-            if kind == 2 and not gone[i] and (size := len("".join(text.split()))):
+            if kind == 2 and not gone[i] and (size := len(WHITE.sub("", text))):
                 chars[i] += size
                 link_chars[i] += size * link[i]
         tags = [int(not gone[i]) for i in range(n)]
@@ -173,9 +248,10 @@ class Page:
     def prune(self) -> None:
         t = self.tree
         n = len(t.tag)
-        within, holds = [False] * n, [False] * n
+        within, holds = [0] * n, [False] * n  # within: the outermost article around, or 0
         for i in range(1, n):
-            within[i] = within[t.parent[i]] or t.tag[t.parent[i]] in ("article", "main")
+            p = t.parent[i]
+            within[i] = within[p] or (p if t.tag[p] in ("article", "main") else 0)
         for i in range(n - 1, 0, -1):
             holds[t.parent[i]] |= holds[i] or t.tag[i] in ("article", "main", "h1")
         plain = [c - x for c, x in zip(self.chars, self.link_chars, strict=True)]
@@ -186,6 +262,11 @@ class Page:
             bad = tag in BOILER or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
             if tag == "header" or "header" in (found := names(attrs)):
                 bad |= not within[i] and not holds[i]
+            if within[i]:
+                own = [x.lower() for k in ("class", "id") if k in attrs for x in attrs[k].split()]
+                bad |= any(map(READERS.fullmatch, own)) or (8 * plain[i] <= plain[within[i]] and any(map(stands_alone, (x for k in ("class", "id") if k in attrs for x in attrs[k].split()))))
+                self.cut[i] = bad
+                continue
             bad |= bool(found & WORDS or any(map(MARKS.search, found)))
             if bad and tag not in BOILER and (holds[i] or ((within[i] or not holds[0]) and 2 * plain[i] > plain[0])) and not found & {"comment", "comments"}:
                 bad = False
@@ -273,7 +354,7 @@ class Page:
         blocks, parts, depth = [], [], 0
 
         def flush():
-            if block := " ".join("".join(parts).split()):
+            if block := WHITE.sub(" ", "".join(parts)).strip():
                 blocks.append(block)
             parts.clear()
 

@@ -124,3 +124,62 @@ def test_densities_against_a_recursive_version():
                 continue
             base = math.log(c / max(c - lc, 1) * lc + total[2] / total[0] * c + math.e)
             assert math.isclose(d, c / n * math.log(max(c / max(lc, 1) * n / max(ln, 1), 1.0)) / (math.log(base) if base > 1 + 1e-9 else 1), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_an_article_keeps_its_sections():
+    """No part of an article goes for a word in its name or for its links; only names that stand alone, of parts with little text."""
+    body = "".join(f"<p>Paragraph {i}. {LONG}</p>" for i in range(6))
+    text = [f"Paragraph {i}. {LONG}" for i in range(6)]
+    kept = {
+        f'<section id="discussion"><h2>Discussion</h2><p>{LONG}</p><p>{LONG}</p></section>': ["Discussion", LONG, LONG],
+        f'<section id="related-work"><p>{LONG}</p></section>': [LONG],
+        f'<section id="search-algorithms"><p>{LONG}</p></section>': [LONG],
+        f'<div class="notice-board"><p>{LONG}</p></div>': [LONG],
+        '<p><a href="a">One link</a>, <a href="b">another link</a> and <a href="c">a third one</a>.</p>': ["One link, another link and a third one."],
+        '<ol><li><a href="a">First reference</a></li><li><a href="b">Second reference</a></li><li><a href="c">Third reference</a></li></ol>': ["First reference", "Second reference", "Third reference"],
+        "<p>Formula <math><mi>a</mi><mo>=</mo><mn>2</mn><annotation>a=2</annotation></math> and <object>a fallback</object> end.</p>": ["Formula a=2 and a fallback end."],
+        f'<div class="commentary"><p>{LONG}</p></div>': [LONG],
+    }
+    for part, more in kept.items():
+        assert H.main_text(page(NAV + f"<article><h1>Head</h1>{body}{part}</article>" + FOOT)) == want("Head", *text, *more), part
+    gone = ['<div class="share">Share this</div>', '<div class="ad-container">Buy it</div>', '<ul class="related-posts"><li><a href="x">More</a></li></ul>', f'<div id="comments"><p>{LONG * 9}</p></div>', f'<section class="user-comments">{LONG}</section>', "<aside>Aside</aside>", '<div role="search">Find</div>', '<div class="newsletter-signup">Mail</div>']
+    for part in gone:
+        assert H.main_text(page(NAV + f"<article><h1>Head</h1>{body}{part}</article>" + FOOT)) == want("Head", *text), part
+
+
+def test_hostile_pages_take_linear_time():
+    n = 100_000
+    pages = ["<a " * n, "<!--" * n, '<a href="' * n, "<p><button>" + "<span>" * n + "<div></div>" * n, "<" * n, "</" * n, "<script>" * n, "&" * n, "<a b='" * n, "<table><tr><td>" * 20_000 + "x", "<li>" * n, "<![" * n, "<p>" * n + "</div>" * n]
+    for html in pages:
+        began = time.time()
+        H.main_text(html)
+        assert time.time() - began < 15, html[:30]
+
+
+def test_scanner():
+    cases = {
+        "a < b <3 and <> x": "a < b <3 and <> x", "<p a=1 b='x>y' c=\"<q>\" d>in</p>": "in", "<P CLASS=x>Up</p >case": "Up\ncase", "<!-->a<!-- x --!> b -->c": "ac", "x<!-- open": "x", "<br/>a<br>b": "a b", "<p>one<div>two</div>": "one\ntwo", "<script>if (a</b) '</scripts>'</SCRIPT >t": "t", "<textarea><b>no</textarea>yes": "yes",
+        "<p title='&gt;'>&lt;p&gt; &#x41;&notit; &amp</p>": "<p> A¬it; &", "<?php x ?>y": "y", "<!DOCTYPE html>z": "z", "<a href=x/>l</a>": "l", "end <a": "end", "<p a=\"never closed>text": "", "<style>p{}</style": "", "<ul><li>a<ul><li>b</ul><li>c</ul>": "a\nb\nc",
+    }
+    for html, text in cases.items():
+        assert H.main_text(html) == text, html
+
+
+def test_one_long_page_takes_little_memory():
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+sys.path.insert(0, %r)
+from tessera.llm import html_extract as H
+html = "<html><body><article>" + "".join("<p>" + "some words in a paragraph. " * 40 + "</p>" for _ in range(28_000)) + "</article></body></html>"
+low = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+text = H.main_text(html)
+print(len(html), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - low) * 1024 / len(html))
+assert len(text) > 28_000_000
+"""
+    import __spark_entry__ as entry
+
+    out = subprocess.run([sys.executable, "-c", code % entry.__file__.rsplit("/", 1)[0]], capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) > 30_000_000 and float(out[1]) < 10
