@@ -108,14 +108,13 @@ def _fractions(before: Column, upto: Column, n: Column, parts: int) -> Column:
 def estimates(edges: DataFrame, group: list[str], parts: int = 20, limits: Limits = Limits()) -> DataFrame:
     """(group, batch, i, n, target, points, answer, n_below, n_upto): the answers of every batch's summary and, with the batch WHOLE, of the merged ones.
 
-    edges: (group, batch, x, w, m) of buckets(). n_below and n_upto are exact for batches; for wholes they are lowest ranks, exact if all buckets are of one value.
+    edges: (group, batch, x, w, m) of buckets(), each x of a batch once. n_below and n_upto are exact for batches; for wholes they are lowest ranks, exact if all buckets are of one value.
     Summaries of under `parts` rows have no row.
     """
     c = F.col
     one, every = Window.partitionBy(*group, "batch"), Window.partitionBy(*group)
     up, rows, rising = one.orderBy("x"), every.orderBy("x", "batch"), every.orderBy("x")
-    e = edges.repartition(*group).groupBy(*group, "batch", "x").agg(F.sum("w").alias("w"), F.sum("m").alias("m"))
-    e = e.withColumns({"upto": F.sum("w").over(up), "at": F.row_number().over(up), "following": F.lead("w").over(up), "n": F.sum("w").over(one), "edges": F.count("*").over(one)})
+    e = edges.repartition(*group).withColumns({"upto": F.sum("w").over(up), "at": F.row_number().over(up), "following": F.lead("w").over(up), "n": F.sum("w").over(one), "edges": F.count("*").over(one)})
     e = e.where(_chosen(c("upto"), c("w"), c("n"), c("at"), c("edges"), c("upto") + c("following"), limits))
     # what a batch's summary holds: edges and their ranks. From here on nothing else is used
     e = e.withColumns({"before": F.lag("upto", 1, 0).over(up), "points": F.count("*").over(one)})
@@ -155,9 +154,10 @@ def summarise(rows: DataFrame, group: list[str], batch: str = "batch", parts: in
     c, own = F.col, [f"g{k}" for k in range(len(group))]
     keys = [*own, "batch"]
     named = rows.select(*(c(g).alias(o) for g, o in zip(group, own, strict=True)), c(batch).cast("int").alias("batch"), c("x").cast("long").alias("x"), c("c").cast("long").alias("c"))
-    rows = cut(named.dropna().where(c("c") > 0), "rows")
+    # equal values are summed before anything is dealt by group, so that no value is hot from here on
+    rows = cut(named.dropna().where(c("c") > 0).groupBy(*keys, "x").agg(F.sum("c").alias("c")), "rows")
     large = cut(rows.groupBy(*own).count().where(c("count") > limits.plain).select(*own), "large-groups")
-    values = cut(rows.join(large.hint("merge"), own, "left_semi").groupBy(*keys, "x").agg(F.sum("c").alias("c")), "values")
+    values = cut(rows.join(large.hint("merge"), own, "left_semi"), "values")
 
     # of a plain group every value is an edge, so its ranks are exact
     plain = rows.join(large.hint("merge"), own, "left_anti").select(*keys, "x", c("c").alias("w"), c("c").alias("m"))

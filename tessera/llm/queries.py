@@ -99,8 +99,8 @@ def op11_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks = one.select(F.lit("value").alias("stream"), "grp", "batch", x("value"), F.lit(1).cast("long").alias("c"))
     lines = read(spark, sf_dir, "sale_lines").where(c("item_id").isNotNull()).groupBy("item_id", batch("vendor_id")).agg(F.count("*").alias("c"))
     items = read(spark, sf_dir, "items").where(c("brand").isNotNull() & sound("price")).select("item_id", "brand", "price")
-    priced = lines.join(items, "item_id").groupBy("brand", "batch", x("price")).agg(F.sum("c").alias("c"))
-    return quantiles.summarise(clicks.unionByName(priced.select(F.lit("price").alias("stream"), c("brand").alias("grp"), "batch", "x", "c")), ["stream", "grp"])
+    priced = lines.join(items, "item_id").select(F.lit("price").alias("stream"), c("brand").alias("grp"), "batch", x("price"), "c")
+    return quantiles.summarise(clicks.unionByName(priced), ["stream", "grp"])
 
 
 #: A conversation whose texts look like the template's own marks.
