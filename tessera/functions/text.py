@@ -213,10 +213,25 @@ def has_url(c) -> Column:
     return matches(c, "(?:" + fixed.URL + ")")
 
 
+FLAGS = ("n_words", "is_code", "is_json", "is_repetitive", "is_spam", "is_letter", "has_url")
+
+
+def filter_flags(c) -> list[Column]:
+    """FLAGS of a text, each taken once; usable_flags judges by them."""
+    return [f(c).alias(n) for n, f in zip(FLAGS, (word_count, looks_like_code, looks_like_json, bad_repetition, placeholder_spam, form_letter, has_url), strict=True)]
+
+
+def usable_flags(most_words: int = 200) -> Column:
+    """Whether an assistant message with these FLAGS columns is usable."""
+    return _usable(*(F.col(x) for x in FLAGS), most_words)
+
+
+def _usable(n, code, json, repetitive, spam, letter, url, most_words: int) -> Column:
+    return n.between(4, most_words) & ~(url | code | json | repetitive | (spam & (n > 40)) | (letter & (n > 90)))
+
+
 def assistant_usable(c, most_words: int = 200) -> Column:
-    n = word_count(c)
-    bad = has_url(c) | looks_like_code(c) | looks_like_json(c) | bad_repetition(c) | (placeholder_spam(c) & (n > 40)) | (form_letter(c) & (n > 90))
-    return n.between(4, most_words) & ~bad
+    return _usable(word_count(c), looks_like_code(c), looks_like_json(c), bad_repetition(c), placeholder_spam(c), form_letter(c), has_url(c), most_words)
 
 
 def programming_request(c) -> Column:

@@ -1,9 +1,12 @@
-"""Conversations: normalisation, usability, supervised token rows, message trees. All in array functions and joins."""
+"""Conversations: normalisation, usability, supervised token rows, message trees. In array functions and joins; only bytes become tokens in Python."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, ByteType, IntegerType
 
 from tessera.functions import fixed
 from tessera.functions import text as T
@@ -83,15 +86,13 @@ def text_ids(c: Column) -> Column:
 
 
 def turn_parts(messages: Column, most_tokens: int | None) -> Column:
-    """Per turn: role, header ids, content ids (answers cut), closer ids."""
+    """Per turn: role, header, content (answers cut) and closer as bytes: a byte token each."""
 
     def one(m):
-        ids = text_ids(m["content"])
+        body = F.encode(m["content"], "UTF-8")
         if most_tokens:
-            ids = F.when(m["role"] == "assistant", F.slice(ids, 1, most_tokens)).otherwise(ids)
-        return F.struct(
-            m["role"].alias("role"), text_ids(F.concat(F.lit(fixed.IM_START), m["role"], F.lit("\n"))).alias("head"), ids.alias("body"), text_ids(F.lit(fixed.IM_END + "\n")).alias("close")
-        )
+            body = F.when(m["role"] == "assistant", F.substring(body, 1, most_tokens)).otherwise(body)
+        return F.struct(m["role"].alias("role"), F.encode(F.concat(F.lit(fixed.IM_START), m["role"], F.lit("\n")), "UTF-8").alias("head"), body.alias("body"), F.encode(F.lit(fixed.IM_END + "\n"), "UTF-8").alias("close"))
 
     return F.transform(messages, one)
 
@@ -128,28 +129,47 @@ def fitted(parts: Column, block_size: int) -> Column:
 
         return T.let(suffix, pick)
 
-    size = lambda p: F.size(p["head"]) + F.size(p["body"]) + F.size(p["close"])
+    size = lambda p: F.octet_length(p["head"]) + F.octet_length(p["body"]) + F.octet_length(p["close"])
     return T.let(parts, lambda p: T.let(F.transform(p, size), lambda sizes: chosen(p, sizes)))
 
 
 def supervised_rows(df: DataFrame, block_size: int, most_tokens: int | None = 256, messages: str = "messages", early: int = fixed.EARLY_LABELS, pad: int = fixed.EOS) -> DataFrame:
     """df's other columns with input_ids, labels, attention_mask, supervised: one padded row for each conversation.
 
-    Labels are the answers' contents and closers; rows that do not fit, or are supervised within the first `early` places, go.
+    Labels are the answers' contents and closers; rows that do not fit, or are supervised within the first `early` places, go. Which turns stay is decided by
+    their sizes; only the bytes of those become tokens, for all rows of a batch at once.
     """
     rest = [c for c in df.columns if c != messages]
-    out = df.select(*rest, fitted(turn_parts(F.col(messages), most_tokens), block_size).alias("__p")).where(F.exists("__p", lambda p: p["role"] == "assistant"))
-    ids = F.concat(F.flatten(F.transform("__p", lambda p: F.concat(p["head"], p["body"], p["close"]))), F.array(F.lit(fixed.EOS)))
-    silent = lambda x: F.transform(x, lambda _: F.lit(fixed.IGNORED))
-    labels = F.flatten(F.transform("__p", lambda p: F.when(p["role"] == "assistant", F.concat(silent(p["head"]), p["body"], p["close"])).otherwise(silent(F.concat(p["head"], p["body"], p["close"])))))
-    out = out.select(*rest, ids.alias("__i"), F.concat(labels, F.array(F.lit(fixed.EOS))).alias("__l"))
-    fill = (F.lit(block_size) - F.size("__i")).cast("int")
-    out = out.select(
-        *rest, F.concat("__i", F.array_repeat(F.lit(pad), fill)).alias("input_ids"), F.concat("__l", F.array_repeat(F.lit(fixed.IGNORED), fill)).alias("labels"),
-        F.concat(F.transform("__i", lambda _: F.lit(1).cast("tinyint")), F.array_repeat(F.lit(0).cast("tinyint"), fill)).alias("attention_mask"),
-        F.size(F.filter("__l", lambda x: x != fixed.IGNORED)).alias("supervised"),
-    )
-    return out.where(F.forall(F.slice("labels", 1, early), lambda x: x == fixed.IGNORED))
+    kept = df.select(*rest, fitted(turn_parts(F.col(messages), most_tokens), block_size).alias("__p")).where(F.exists("__p", lambda p: p["role"] == "assistant"))
+    whole = F.aggregate("__p", F.encode(F.lit(""), "UTF-8"), lambda done, p: F.concat(done, p["head"], p["body"], p["close"]))
+    spans = F.flatten(F.transform("__p", lambda p: F.array(F.octet_length(p["head"]), F.octet_length(p["body"]) + F.octet_length(p["close"]))))
+    learnt = F.flatten(F.transform("__p", lambda p: F.array(F.lit(False), p["role"] == "assistant")))
+    ready = kept.select(*rest, whole.alias("__w"), spans.alias("__n"), learnt.alias("__a"))
+
+    def run(batches):
+        for b in batches:
+            raw, spans, learnt = b.columns[-3:]
+            raw = raw.cast(pa.large_binary())
+            offs = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+            data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[offs[0] : offs[-1]] if len(raw) else np.zeros(0, np.uint8)
+            n = np.diff(offs)
+            row, rows = np.repeat(np.arange(len(raw)), n), np.arange(len(raw))
+            place = np.arange(len(data)) - np.repeat(offs[:-1] - offs[0], n)
+            on = np.repeat(learnt.flatten().to_numpy(zero_copy_only=False).astype(bool), spans.flatten().to_numpy()) if len(data) else np.zeros(0, bool)
+            ids, labels, live = np.full((len(raw), block_size), pad, np.int32), np.full((len(raw), block_size), fixed.IGNORED, np.int32), np.zeros((len(raw), block_size), np.int8)
+            token = data.astype(np.int32) + fixed.BYTE_SHIFT
+            ids[row, place], live[row, place] = token, 1
+            labels[row[on], place[on]] = token[on]
+            ids[rows, n] = labels[rows, n] = fixed.EOS
+            live[rows, n] = 1
+            good = np.flatnonzero((labels[:, :early] == fixed.IGNORED).all(1))
+            size = pa.array(np.arange(len(good) + 1, dtype=np.int32) * block_size)
+            arrays = [pa.ListArray.from_arrays(size, pa.array(x[good].ravel())) for x in (ids, labels, live)]
+            supervised = pa.array((labels[good] != fixed.IGNORED).sum(1).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(good)) for c in b.columns[:-3]), *arrays, supervised], [*b.schema.names[:-3], "input_ids", "labels", "attention_mask", "supervised"])
+
+    schema = ready.drop("__w", "__n", "__a").schema.add("input_ids", ArrayType(IntegerType())).add("labels", ArrayType(IntegerType())).add("attention_mask", ArrayType(ByteType())).add("supervised", IntegerType())
+    return ready.mapInArrow(run, schema)
 
 
 def trimmed_history(messages: Column, limit: int) -> Column:

@@ -145,15 +145,14 @@ def probed() -> Column:
 
 def filter_columns(x: str) -> list[Column]:
     return [
-        T.word_count(x).alias("n_words"), T.looks_like_code(x).alias("is_code"), T.looks_like_json(x).alias("is_json"), T.bad_repetition(x).alias("is_repetitive"), T.placeholder_spam(x).alias("is_spam"),
-        T.form_letter(x).alias("is_letter"), T.has_url(x).alias("has_url"), T.programming_request(x).alias("is_request"),
+        *T.filter_flags(x), T.programming_request(x).alias("is_request"),
     ]
 
 
 @query(f"""WITH f AS ({S.flags(f"(SELECT doc_id, {PROBED} AS x FROM documents)", 'doc_id', 'x')}) SELECT *, {S.usable(200)} AS usable_v7, {S.usable(140)} AS usable_v5 FROM f""")
 def filter_flags(spark, d):
     own = table(spark, d, "documents").select("doc_id", probed().alias("x"))
-    return own.select("doc_id", *filter_columns("x"), T.assistant_usable("x", 200).alias("usable_v7"), T.assistant_usable("x", 140).alias("usable_v5"))
+    return own.select("doc_id", *filter_columns("x")).withColumns({"usable_v7": T.usable_flags(200), "usable_v5": T.usable_flags(140)})
 
 
 @query(f"""WITH f AS ({S.flags('pages', 'page_id', 'html')}) SELECT * FROM f""")
