@@ -130,14 +130,13 @@ def chat_label_stats(spark, d):
     return out.withColumn("share_p50", F.round("share_p50", 9)).withColumn("share_p90", F.round("share_p90", 9))
 
 
-@query("""WITH s AS (SELECT conv_id, turn, role, octet_length(encode('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)))::BIGINT AS n FROM conversations WHERE text = trim(text, ' ' || chr(10))),
-q AS (SELECT *, (role = 'system' AND turn = 0)::INT AS lead FROM s WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE text <> trim(text, ' ' || chr(10)))),
+@query(f"""WITH s AS (SELECT conv_id, turn, role, octet_length(encode('<|im_start|>' || role || chr(10) || {S.strip('text')} || '<|im_end|>' || chr(10)))::BIGINT AS n FROM conversations),
+q AS (SELECT *, (role = 'system' AND turn = 0)::INT AS lead FROM s),
 z AS (SELECT *, sum(n * (1 - lead)) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS suffix, sum(n * lead) OVER (PARTITION BY conv_id) + 22 AS fixed, row_number() OVER (PARTITION BY conv_id, lead ORDER BY turn) AS rn, count(*) OVER (PARTITION BY conv_id) AS total FROM q),
 st AS (SELECT conv_id, any_value(total) AS total, any_value(fixed) AS fixed, max(lead) AS lead, min(turn) FILTER (lead = 0 AND (rn = 1 OR role <> 'assistant') AND suffix + fixed <= 900) AS start FROM z GROUP BY conv_id)
 SELECT st.conv_id, (st.lead + count(z.turn))::BIGINT AS messages, (any_value(st.fixed) + coalesce(sum(z.n), 0))::BIGINT AS bytes FROM st LEFT JOIN z ON z.conv_id = st.conv_id AND z.lead = 0 AND z.turn >= st.start GROUP BY st.conv_id, st.lead""")
 def history_trim(spark, d):
     own = chat.conversations(table(spark, d, "conversations"))
-    own = own.where(F.forall("messages", lambda m: T.strip(m["content"]) == m["content"]))
     own = own.withColumn("messages", chat.trimmed_history(F.col("messages"), 900))
     return own.select("conv_id", F.size("messages").cast("long").alias("messages"), F.octet_length(T.render_chat("messages")).cast("long").alias("bytes"))
 

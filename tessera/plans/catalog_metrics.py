@@ -357,7 +357,9 @@ def field_aliases(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", chat.alias_fields(roles, contents).alias("m")).select("conv_id", "turn", "m.role", "m.content")
 
 
-@query("SELECT 'documents' AS name, 'text' AS column UNION ALL SELECT 'pages', 'url' UNION ALL SELECT 'nation', 'n_name'")
+@query("""SELECT 'documents' AS name, (SELECT min(column_name) FROM (DESCRIBE documents) WHERE column_name IN ('text', 'content', 'paragraph', 'data')) AS column
+UNION ALL SELECT 'pages', CASE WHEN trim(url) <> '' THEN 'url' WHEN trim(html) <> '' THEN 'html' END FROM (SELECT * FROM pages ORDER BY page_id LIMIT 1)
+UNION ALL SELECT 'nation', CASE WHEN trim(n_name) <> '' THEN 'n_name' END FROM (SELECT * FROM nation ORDER BY n_nationkey LIMIT 1)""")
 def text_columns(spark, d):
     from tessera.sources import text_column
 
