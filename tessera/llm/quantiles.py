@@ -44,6 +44,12 @@ def _bound(n: Column, limits: Limits) -> Column:
     return F.floor(n / F.lit(limits.slots))
 
 
+def _joined(rows: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A sort-merge join of rows with a list that grows with the input. Its exchange serves the join alone: dealt by a hash beside the keys, which is dropped, so that nothing later takes the rows of a hot key as they lie, and adaptive execution may split them."""
+    h = F.xxhash64(*on)
+    return rows.withColumn("__k", h).join(few.withColumn("__k", h).hint("merge"), ["__k", *on], how).drop("__k")
+
+
 def _measured(rows: DataFrame, keys: list[str], cell: list[str]) -> DataFrame:
     """Exact counts of each bucket: rows w, values d, lowest and highest value, rows m of the highest."""
     return rows.groupBy(*keys, *cell).agg(
@@ -62,7 +68,7 @@ def buckets(values: DataFrame, keys: list[str], limits: Limits = Limits()) -> Da
         todo = all_.where(~good).select(*keys, *cell, "n", "w", "d", "hi", wanted.alias("wanted"), F.ceil(F.col("d") / limits.piece).alias("pieces"))
         if not todo.take(1):
             return reduce(DataFrame.unionByName, found)
-        open_rows = rows.drop("n").join(todo.hint("merge"), [*keys, *cell])
+        open_rows = _joined(rows.drop("n"), todo, [*keys, *cell])
         few = F.col("d") <= F.col("wanted")
         found.append(open_rows.where(few).select(*keys, "x", F.col("c").alias("w"), F.col("c").alias("m")))
         rows = cut(_counted(open_rows.where(~few), todo.where(~few), keys, cell, turn), f"split-{turn}")
@@ -157,14 +163,14 @@ def summarise(rows: DataFrame, group: list[str], batch: str = "batch", parts: in
     # equal values are summed before anything is dealt by group, so that no value is hot from here on
     rows = cut(named.dropna().where(c("c") > 0).groupBy(*keys, "x").agg(F.sum("c").alias("c")), "rows")
     large = cut(rows.groupBy(*own).count().where(c("count") > limits.plain).select(*own), "large-groups")
-    values = cut(rows.join(large.hint("merge"), own, "left_semi"), "values")
+    values = cut(_joined(rows, large, own, "left_semi"), "values")
 
     # of a plain group every value is an edge, so its ranks are exact
-    plain = rows.join(large.hint("merge"), own, "left_anti").select(*keys, "x", c("c").alias("w"), c("c").alias("m"))
+    plain = _joined(rows, large, own, "left_anti").select(*keys, "x", c("c").alias("w"), c("c").alias("m"))
     exact = estimates(plain, own, parts, limits).withColumn("exact_x", c("answer"))
 
     found, places = cut(estimates(buckets(values, keys, limits), own, parts, limits), "answers"), ranked(values, own)
-    at = places.join(found.select(*keys, "n").distinct().hint("merge"), keys).withColumn("i", F.explode(_fractions(c("below"), c("below") + c("c"), c("n"), parts)))
+    at = _joined(places, found.select(*keys, "n").distinct(), keys).withColumn("i", F.explode(_fractions(c("below"), c("below") + c("c"), c("n"), parts)))
     held = found.drop("n_below", "n_upto").join(at.select(*keys, c("i").cast("int").alias("i"), c("x").alias("exact_x")).hint("merge"), [*keys, "i"])
     held = held.hint("merge").join(places.select(*keys, c("x").alias("answer"), c("below").alias("n_below"), (c("below") + c("c")).alias("n_upto")), [*keys, "answer"])
     error = F.greatest(F.lit(0), c("n_below") + 1 - c("target"), c("target") - c("n_upto"))
