@@ -36,3 +36,25 @@ def test_a_stream_gives_the_blocks_of_the_batch(spark, tmp_path):
     want = pack.blocks(docs(spark.createDataFrame(rows, SCHEMA)), ["shard"], "pos", 16).select("shard", "block_id", "input_ids")
     assert 0 < half < got.count()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_progress_counts_in_the_same_pass(spark, tmp_path):
+    from tessera.streaming import progress
+
+    inbox, said = str(tmp_path / "in"), []
+    for k in range(3):
+        spark.createDataFrame([("a", 10 * k + i, 5) for i in range(10)], SCHEMA).coalesce(1).write.mode("append").parquet(inbox)
+    watching = progress.watch(spark, every=60, report=said.append)
+    try:
+        stream = progress.counted(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(inbox), F.col("n"))
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        for _ in range(100):
+            if q.id in watching.ended:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(watching)
+    assert watching.totals[q.id] == {"rows": 30, "texts": 30, "tokens": 150} and watching.ended[q.id] is None
+    assert [t["tokens"] for t in watching.triggers[q.id] if t["rows"]] == [50, 50, 50]
+    assert [x["tokens"] for x in said] == [100, 150]
