@@ -159,7 +159,7 @@ select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_cha
     "op13_collocations": r"""
 with d as (select row_number() over () as id, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
 p as (select lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) as piece from d),
-w as (select lang, list_filter(string_split_regex(piece, '[ \t]+'), x -> x <> '') as w from p),
+w as (select lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') as w from p),
 g as (select lang, w, unnest([1, 2, 3, 4, 5]) as k from w where len(w) > 0),
 h as (select lang, k, w, unnest(range(1, len(w) - k + 2)) as i from g where len(w) >= k),
 c as (select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase, count(*) as f from h group by all),
