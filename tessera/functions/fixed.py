@@ -36,6 +36,7 @@ CODE_PATTERNS = [
     r"\bTraceback\b",
     r"\bException\b",
 ]
+#: The shorter pattern of code in responses, and the other patterns and sentences that filters look for.
 RESPONSE_CODE = r"```|<(?:(?:!DOCTYPE)|html|body|script)\b|\bimport\s+[A-Za-z0-9_.]+|\bdef\s+\w+\s*\(|\bpublic\s+class\b|#include\s*<"
 PROGRAMMING_REQUESTS = [
     r"```",
