@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,9 +12,12 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from tessera.functions import fixed
 from tessera.functions.text import strip
+from tessera.operators import slices
 
 
 IDS = ArrayType(IntegerType())
+#: Fixed value: bytes of text that the tokenizers library encodes at once; its result keeps over a hundred bytes for each token.
+ENCODED_BYTES = 1 << 18
 
 
 def byte_ids(df: DataFrame, text: str = "text", bos: bool = True, eos: bool = True, drop_blank: bool = True) -> DataFrame:
@@ -50,10 +55,11 @@ def file_ids(df: DataFrame, tokenizer_json: str, text: str = "text", bos: int |
     ready = df.select(*rest, strip(text).alias("__t")).where("__t <> ''")
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of its own would hold the results of each
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_str(shared.value)
-        for b in batches:
+        for b in (part for batch in batches for part in slices.by_bytes(batch, most=ENCODED_BYTES)):
             encoded = t.encode_batch_fast(b.column(b.num_columns - 1).to_pylist(), add_special_tokens=False)
             head, tail = [] if bos is None else [bos], [] if eos is None else [eos]
             ids = [head + e.ids + tail if e.ids else None for e in encoded]
