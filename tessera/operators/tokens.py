@@ -27,7 +27,7 @@ def byte_ids(df: DataFrame, text: str = "text", bos: bool = True, eos: bool = Tr
     ready = ready.where("__t <> ''") if drop_blank else ready.withColumn("__t", F.coalesce("__t", F.lit("")))
 
     def run(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in slices.by_bytes(batch)):
             raw = b.column(b.num_columns - 1).cast(pa.large_binary())
             offs = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
             data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[offs[0] : offs[-1]] if raw.buffers()[2] is not None else np.zeros(0, np.uint8)
