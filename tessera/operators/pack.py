@@ -32,11 +32,16 @@ def pieces(df: DataFrame, keys: list[str], order: str, block_size: int, ids: str
     return holds(each.select(*keys, "block_id", (F.col("__off") + begin).alias("off"), F.slice(ids, (begin + 1).cast("int"), (end - begin).cast("int")).alias("piece")), own, sized)
 
 
+def gathered(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, block_id, input_ids) of pieces; the last block of the keys may be shorter."""
+    put = parts.groupBy(*keys, "block_id").agg(F.sort_array(F.collect_list(F.struct("off", "piece"))).alias("p"))
+    return put.select(*keys, "block_id", F.flatten(F.col("p.piece")).alias("input_ids"))
+
+
 def blocks(df: DataFrame, keys: list[str], order: str, block_size: int, ids: str = "ids", tail: str = "drop", pad: int = fixed.EOS, lengths: str | None = None) -> DataFrame:
     """(keys, block_id, input_ids, labels, attention_mask). tail: what becomes of the last, shorter block: "drop" or "pad"."""
     parts = pieces(df, keys, order, block_size, ids, lengths)
-    put = parts.groupBy(*keys, "block_id").agg(F.sort_array(F.collect_list(F.struct("off", "piece"))).alias("p"))
-    out = put.select(*keys, "block_id", F.flatten(F.col("p.piece")).alias("input_ids"))
+    out = gathered(parts, keys)
     if tail == "drop":
         out = out.where(F.size("input_ids") == block_size)
         return holds(out.select(*keys, "block_id", "input_ids", F.col("input_ids").alias("labels"), F.array_repeat(F.lit(1).cast("tinyint"), block_size).alias("attention_mask")), parts)

@@ -58,3 +58,22 @@ def test_progress_counts_in_the_same_pass(spark, tmp_path):
     assert watching.totals[q.id] == {"rows": 30, "texts": 30, "tokens": 150} and watching.ended[q.id] is None
     assert [t["tokens"] for t in watching.triggers[q.id] if t["rows"]] == [50, 50, 50]
     assert [x["tokens"] for x in said] == [100, 150]
+
+
+def test_no_python_task_holds_a_shard_of_a_trigger(spark, tmp_path):
+    """A trigger with one large shard is packed by ranges; a trigger that is tried again leaves the same blocks and state; null shards and null ids are kept apart."""
+    rows = [(None if i % 50 == 7 else "big", i * 7 % 4000, None if i % 97 == 0 else [i] * (i % 40)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "shard string, pos long, ids array<int>").repartition(8)
+    parts = [df.where("pos < 3100"), df.where("pos >= 3100 and pos < 3500"), df.where("pos >= 3500"), df.where("false")]
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for n in (0, 1, 1, 2, 3):
+        packing.pack_trigger(parts[n], n, out, state, "shard", "pos", 16)
+    got = packing.packed_blocks(spark, out).select("shard", "block_id", "input_ids").collect()
+    want = []
+    for shard in ("big", None):
+        own = sorted((r for r in rows if r[0] == shard), key=lambda r: r[1])
+        flat = [x for r in own for x in r[2] or ()]
+        want += [(shard, i // 16, flat[i : i + 16]) for i in range(0, len(flat) - 15, 16)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    left = {r.shard: (r.next_block, r.rest) for r in spark.read.parquet(f"{state}/{packing.STATES}/trigger=3").collect()}
+    assert len(left) == 2 and all(n == sum(w[0] == s for w in want) and len(rest) < 16 for s, (n, rest) in left.items())
