@@ -254,7 +254,7 @@ def guarded_means(spark, d):
 @query("WITH b AS (SELECT event_id // 32 AS batch, avg(value) AS l FROM events GROUP BY 1) SELECT round(avg(l), 6) AS loss, round(ln(CASE WHEN avg(l) < 30 THEN exp(avg(l)) ELSE 'inf'::DOUBLE END), 6) AS log_perplexity FROM b")
 def batch_mean_loss(spark, d):
     own = table(spark, d, "events").select(F.floor(F.col("event_id") / 32).alias("batch"), F.col("value").alias("loss"))
-    return M.batch_mean(own, "batch").select(F.round("loss", 6).alias("loss"), F.round(F.log("perplexity"), 6).alias("log_perplexity"))
+    return M.batch_mean(own, "batch").select(F.round("loss", 6).alias("loss"), F.round(T.log("perplexity"), 6).alias("log_perplexity"))
 
 
 @query("SELECT source, lang, count(*) AS n FROM documents GROUP BY ROLLUP (source, lang)")
